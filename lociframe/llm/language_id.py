@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """Adds lang_pred, score and accepted to the columns keep (the id alone if not given).  One narrow pass; the model is a
     fixed-size broadcast."""
     spark = docs.sparkSession
-    _shared.small_batches(spark)
+    _shared.prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     kept = list(keep or [id_col])
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))

@@ -235,7 +235,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
 def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score to the columns keep (the id alone if not given), in one narrow pass."""
     spark = docs.sparkSession
-    _shared.small_batches(spark)
+    _shared.prepare(spark)
     sent = spark.sparkContext.broadcast(field)
     kept = list(keep or [id_col])
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, language_id, line_quality, sentencepiece_codec
+from . import _shared, language_id, line_quality, partenum_join, sentencepiece_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,8 +38,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_shared.fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op6_language_id)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op6_language_id, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -316,7 +316,7 @@ def codec(path: str) -> PieceCodec:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded text.  A single
     narrow pass; nothing is shuffled.  model_path must be readable on every executor (an installed package's file)."""
-    _shared.small_batches(docs.sparkSession)
+    _shared.prepare(docs.sparkSession)
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
