@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, language_id, line_quality, partenum_join, sentencepiece_codec
+from . import _shared, bestfit_packing, language_id, line_quality, lz_fingerprint, partenum_join, sentencepiece_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,12 +38,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_shared.fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op6_language_id, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op4_lz_fingerprint, op6_language_id, op8_bestfit_packing, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
