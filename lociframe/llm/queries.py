@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, bestfit_packing, language_id, line_quality, lz_fingerprint, partenum_join, sentencepiece_codec
+from . import _shared, bestfit_packing, language_id, line_quality, lz_fingerprint, partenum_join, secret_scan, sentencepiece_codec, warc_archive
 
 
 def tokenizer_file(name: str) -> str:
@@ -38,10 +38,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_shared.fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -51,7 +59,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op4_lz_fingerprint, op6_language_id, op8_bestfit_packing, op10_ngram_jaccard_join)}
+    names = (op1_sentencepiece, op2_quality_classifier, op3_secret_scan, op4_lz_fingerprint, op6_language_id, op7_warc, op8_bestfit_packing, op10_ngram_jaccard_join)
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
