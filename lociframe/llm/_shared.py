@@ -18,7 +18,7 @@ U64 = np.uint64
 #: Rows in an Arrow batch handed to Python.  Texts average a few KB, so a batch stays at a few MB.
 BATCH_ROWS = 1000
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

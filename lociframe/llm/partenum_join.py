@@ -6,10 +6,10 @@ such sets differ in at most one element in some part, and each part into n2 seco
 them is a signature, and similar sets share one at least.
 
 Each task puts documents of equal sets together and sends each signature once (of the documents that share it within the
-task, the others follow as they are needed), so a signature common to very many documents arrives as a row per task.
-Candidates are compared through a pivot per signature, not pair by pair: documents that links already join need no further
-comparison; what is left is compared in rounds, each with a new pivot, until few enough pairs remain to list them all.  So
-no link between different texts is lost and no group is expanded into its pairs.
+task, the others follow marked).  Candidates are compared through a pivot per signature, not pair by pair: documents that
+links already join need no further comparison.  Documents of a signature that no link to a pivot joins are compared by how
+they differ from the pivot: a second, much smaller similarity join, by prefixes of these differences.  So no link between
+different texts is lost and no group is expanded into its pairs.
 
 Defined results: without words (or text) a set is empty and links with nothing; with fewer words than n the whole sequence
 is the one element; equal ids count as one document; rows without an id keep a null component; long texts are whole.
@@ -29,10 +29,8 @@ from ._shared import U64, mix64
 
 #: Candidate ids up to this many are broadcast (8 bytes each) to the scan that fetches their texts; beyond it, a join by key.
 BROADCAST_IDS = 1_000_000
-#: Pairs are listed all at once when there are at most this many for each candidate document; before that, pivot rounds.
-LIST_PAIRS_PER_DOC = 20
 #: Signatures that a task gathers before it sends them on.
-GATHER = 2_000_000
+GATHER = 500_000
 _SALTS = [U64(0x8CB92BA72F3D8DD7), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)]
 
 
@@ -244,7 +242,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
         found = texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(words), "doc long, elements array<long>")
         sets = _shared.written(found.groupBy("doc").agg(F.min("elements").alias("elements")) if _repeated(all_docs) else found, "partenum-sets")
-        comps = _rounds(members, sets, num, den, n_ids)
+        comps = _rounds(members, sets, num, den)
     by_class = classes.select("h1", "h2", "n", "rep")
     if comps is not None:
         by_class = by_class.join(comps, by_class.rep == comps.node, "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"))
@@ -259,38 +257,69 @@ def _repeated(all_docs: DataFrame) -> bool:
     return bool(all_docs.filter("doc IS NOT NULL").groupBy("doc").count().filter("count > 1").limit(1).count())
 
 
-def _rounds(members: DataFrame, sets: DataFrame, num: int, den: int, n_ids: int) -> DataFrame | None:
+def _rounds(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (node, component_id) of the documents that share signatures; members: (sig, doc)."""
-    links, comps, turn = None, None, 0
-    while True:
+
+    def open_signatures(comps: DataFrame | None) -> DataFrame:
+        """members with their components, of the signatures whose documents links do not all join yet."""
         if comps is None:
-            now = members.withColumn("comp", F.col("doc"))
-        else:
-            now = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component_id", "doc").alias("comp"))
-        mixed = now.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("doc").alias("pivot"), F.min_by("comp", "doc").alias("pivot_comp"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1")
-        open_rows = _shared.written(now.join(mixed.select("sig", "pivot", "pivot_comp", "m"), "sig"), "partenum-open")
-        left = open_rows.filter("doc = pivot").agg(F.count(F.lit(1)), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-        if not left[0]:
-            return comps
-        last = left[1] <= LIST_PAIRS_PER_DOC * n_ids
-        if last:
-            a, b = open_rows.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca")), open_rows.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-            pairs = a.join(b, "sig").filter("a < b AND ca <> cb").select("a", "b").distinct()
-            if turn == 0:  # most pairs of a group follow from its other links: the pivots' first
-                last = left[1] <= n_ids
-        if not last:
-            stars = open_rows.filter("doc <> pivot AND comp <> pivot_comp").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("c"))
-            if turn == 0:  # the pivot with which a document shares most signatures
-                pairs = stars.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
-            else:
-                pairs = stars
-            pairs = pairs.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-        found = _shared.written(_links(pairs, sets, num, den), "partenum-links")
-        links = found if links is None else links.union(found)
-        if found.limit(1).count():
-            comps = _shared.components(links, "partenum")
-        if last:
-            return comps
-        if turn:  # all pairs of these pivots are settled: each signature goes on with its other documents
-            members = _shared.written(open_rows.filter("doc <> pivot").select("sig", "doc"), "partenum-members")
-        turn += 1
+            return members.withColumn("comp", F.col("doc"))
+        now = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component_id", "doc").alias("comp"))
+        mixed = now.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("sig")
+        return now.join(mixed, "sig")
+
+    # each document with the smallest document of a signature, that with which it shares most signatures
+    now = open_signatures(None)
+    stars = now.join(now.groupBy("sig").agg(F.min("doc").alias("pivot")), "sig").filter("doc <> pivot").groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("c"))
+    first = stars.groupBy("doc").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
+    links = _shared.written(_links(first.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), sets, num, den), "partenum-links")
+    comps = _shared.components(links, "partenum")
+
+    # then with that document of each signature that has most links
+    degree = links.select(F.col("a").alias("doc")).union(links.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+    now = open_signatures(comps).join(degree, "doc", "left")
+    pivots = now.groupBy("sig").agg(F.max_by(F.struct(F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp")), F.struct(F.coalesce("links", F.lit(0)), -F.col("doc"))).alias("p")).select("sig", "p.*")
+    now = _shared.written(now.join(pivots, "sig").drop("links"), "partenum-open")
+    pairs = now.filter("comp <> pivot_comp").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    found = _shared.written(_links(pairs, sets, num, den), "partenum-links")
+    links = links.union(found)
+    comps = _shared.components(links, "partenum")
+
+    # at last the other documents of a signature with each other
+    members = now.filter("doc <> pivot").select("sig", "doc")
+    rest = open_signatures(comps).join(now.select("sig", "pivot").distinct(), "sig").select("pivot", "doc", "comp").distinct()
+    found = _shared.written(_links(_delta_pairs(_shared.written(rest, "partenum-open"), sets, num, den), sets, num, den), "partenum-links")
+    return _shared.components(links.union(found), "partenum")
+
+
+def _delta_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) among the documents of each pivot that lie in different components.
+
+    All are known by how they differ from the pivot: D(x) holds the elements that only one of x and the pivot has.  Two sets
+    differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, at most H if they are to be linked.  If |D(x)| + |D(y)| <= H both
+    are linked to the pivot, so every pair of interest shares elements of D, at least (|D(x)| + |D(y)| - H) / 2.  With the
+    elements of D in order of their number in the pivot's group, two such pairs meet in the first |D| - shared + 1 elements.
+    Prefixes depend on both sizes, so they are taken for each pair of size bands."""
+    left = sets.select("doc", F.col("elements").alias("ex"))
+    right = sets.select(F.col("doc").alias("pivot"), F.col("elements").alias("ep"))
+    d = rest.join(left, "doc").join(right, "pivot")
+    d = d.select("pivot", "doc", "comp", F.size("ex").alias("n"), F.concat(F.array_except("ex", "ep"), F.array_except("ep", "ex")).alias("d"))
+    d = _shared.written(d, "partenum-delta")
+    groups = d.groupBy("pivot").agg(F.max("n").alias("top"), F.mode("comp").alias("main"))
+    limit = F.floor(F.col("top") * (2 * (den - num)) / (den + num))
+    groups = groups.select("pivot", "main", limit.alias("h"), F.greatest(F.lit(1), F.floor(limit / 12)).alias("w"))
+    flat = d.select("pivot", "doc", F.explode("d").alias("e"))
+    often = flat.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f"))
+    ordered = flat.join(often, ["pivot", "e"]).groupBy("pivot", "doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "e"))), lambda x: x["e"]).alias("d"))
+    sized = ordered.join(d.select("pivot", "doc", "comp"), ["pivot", "doc"]).join(groups, "pivot").withColumn("s", F.size("d")).withColumn("band", F.floor(F.col("s") / F.col("w")))
+    bands = sized.groupBy("pivot").agg(F.collect_set("band").alias("bands"))
+    each = sized.join(bands, "pivot").withColumn("other", F.explode("bands")).filter("abs(band - other) * w <= h + w")
+    shared = F.greatest(F.lit(1), F.ceil(((F.col("band") + F.col("other")) * F.col("w") - F.col("h")) / 2))
+    each = each.withColumn("k", (F.col("s") - shared + 1).cast("int")).filter("k > 0")
+    keyed = each.select("pivot", F.least("band", "other").alias("lo"), F.greatest("band", "other").alias("hi"), "band", "doc", "comp", (F.col("comp") == F.col("main")).alias("is_main"), F.explode(F.expr("slice(d, 1, k)")).alias("e"))
+    keyed = _shared.written(keyed, "partenum-prefix")
+    key = ["pivot", "lo", "hi", "e"]
+    a = keyed.filter("NOT is_main").select(*key, F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("band").alias("ba"))
+    b = keyed.select(*key, F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("band").alias("bb"), F.col("is_main").alias("mb"))
+    met = a.join(b, key).filter("ca <> cb AND ba + bb = lo + hi AND (mb OR a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
