@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _shared, bestfit_packing, language_id, line_quality, lz_fingerprint, partenum_join, secret_scan, sentencepiece_codec, warc_archive
+from . import _shared, bestfit_packing, embedding_dedup, language_id, line_quality, lz_fingerprint, maxent_lm, partenum_join, secret_scan, sentencepiece_codec, warc_archive
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +31,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_shared.fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_language(docs, _shared.fold_of("doc_id", 4) != 2)
@@ -54,14 +58,37 @@ def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = maxent_lm.fit(docs, _shared.fold_of("doc_id", 7) != 2)
+    out = maxent_lm.score(docs, model, counts)
+    return out.withColumn("held_out", _shared.fold_of("doc_id", 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (op1_sentencepiece, op2_quality_classifier, op3_secret_scan, op4_lz_fingerprint, op6_language_id, op7_warc, op8_bestfit_packing, op10_ngram_jaccard_join)
+    names = (op1_sentencepiece, op2_quality_classifier, op3_secret_scan, op4_lz_fingerprint, op5_embedding_dedup, op6_language_id, op7_warc, op8_bestfit_packing, op9_lm_scoring, op10_ngram_jaccard_join)
     return {f.__name__: f for f in names}
 
 
+#: What SQL can express: the base spans of a document's secrets, found by hand, and pages by digest.
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex),
+bits AS (SELECT page_id, string_agg(lpad(bin(('0x' || substr(hex, i, 1))::INT), 4, '0'), '' ORDER BY i) AS b
+         FROM p, range(1, 41) AS r(i) GROUP BY page_id),
+b32 AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + list_sum(list_transform(range(0, 5), lambda k: CASE WHEN substr(b, 5 * j + k + 1, 1) = '1' THEN 2 ** (4 - k) ELSE 0 END))::INT, 1), '' ORDER BY j) AS digest
+        FROM bits, range(0, 32) AS r(j) GROUP BY page_id)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (hex) JOIN b32 USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": _WARC_SQL}

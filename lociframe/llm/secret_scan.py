@@ -145,6 +145,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(*[F.col(f"`{c}`") for c in kept], "found")
 
 
+def masked(found: DataFrame, text_col: str, mark: str) -> DataFrame:
+    """Replaces the spans in found by a mark; spans that overlap get one mark together."""
+    text = F.col(text_col)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        fresh = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    whole = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("found") > 0, whole).otherwise(text))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
