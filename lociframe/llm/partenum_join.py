@@ -29,6 +29,10 @@ from ._shared import U64, mix64
 
 #: Candidate ids up to this many are broadcast (8 bytes each) to the scan that fetches their texts; beyond it, a join by key.
 BROADCAST_IDS = 1_000_000
+#: Groups of a pivot from which on elements are counted, to put rare ones first.
+LARGE_GROUP = 32
+#: Parts, in percent, beyond those that pigeonholes need; as many of a set's emptiest parts give no signature.
+SPARE = 20
 #: Signatures that a task gathers before it sends them on.
 GATHER = 500_000
 _SALTS = [U64(0x8CB92BA72F3D8DD7), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)]
@@ -78,11 +82,17 @@ class Bands:
             k = 2 * hi * (self.den - self.num) // (self.den + self.num)
             self.high.append(hi)
             self.low.append(hi + 1)
-            n1 = -(-(k + 1) // 2)
-            unit = lo / (k + 1)
-            self.cuts.append((n1, 2 if unit >= 7 or k > 200 else 3 if unit >= 5 or k > 20 else 4) if k else None)
+            self.cuts.append(self._cut(lo, k) if k else None)
         return int(np.searchsorted(self.high, size))
 
+    @staticmethod
+    def _cut(lo: int, k: int) -> tuple[int, int, int]:
+        """(first-level parts, second-level parts of each, parts to keep) for sets of lo elements that differ in k."""
+        if k < 4:
+            n1 = -(-(k + 1) // 2)
+            return n1, 4, 0
+        return k + 1 + -(-(k + 1) * SPARE // 100), 1, k + 1
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """All signatures of a sorted set."""
         size, out = len(s), []
@@ -94,18 +104,22 @@ class Bands:
             for band in range(self.of(size), self.of(size * self.den // self.num) + 1):
                 if self.cuts[band] is None:
                     continue
-                n1, n2 = self.cuts[band]
+                n1, n2, keep = self.cuts[band]
                 edges = self.sum_cuts.get(band)
                 if edges is None:
                     step = (1 << 64) / (n1 * n2)
                     edges = self.sum_cuts[band] = np.array([min(int(i * step), (1 << 64) - 1) for i in range(1, n1 * n2)], dtype=U64)
                 at = np.r_[0, np.searchsorted(s, edges), size]
-                cell = (sums[at[1:]] - sums[at[:-1]]).reshape(n1, n2)
-                count = np.diff(at).reshape(n1, n2).astype(U64)
-                value = cell.sum(axis=1, keepdims=True, dtype=U64) - cell
-                left = count.sum(axis=1, keepdims=True, dtype=U64) - count
-                where = (np.arange(n1 * n2, dtype=U64) + U64(band << 32)).reshape(n1, n2)
-                out.append(mix64(value + mix64(left * _SALTS[0] + mix64(where * _SALTS[1]))).ravel())
+                value, count = sums[at[1:]] - sums[at[:-1]], np.diff(at)
+                where = np.arange(n1 * n2, dtype=U64) + U64(band << 32)
+                if keep:
+                    full = np.argsort(-count, kind="stable")[:keep]
+                    value, count, where = value[full], count[full], where[full]
+                else:  # of each first-level part all second-level ones but one
+                    value, count = value.reshape(n1, n2), count.reshape(n1, n2)
+                    value = (value.sum(axis=1, keepdims=True, dtype=U64) - value).ravel()
+                    count = (count.sum(axis=1, keepdims=True) - count).ravel()
+                out.append(mix64(value + mix64(count.astype(U64) * _SALTS[0] + mix64(where * _SALTS[1]))))
         return np.concatenate(out) if out else np.zeros(0, dtype=U64)
 
 
@@ -298,25 +312,33 @@ def _delta_pairs(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     All are known by how they differ from the pivot: D(x) holds the elements that only one of x and the pivot has.  Two sets
     differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, at most H if they are to be linked.  If |D(x)| + |D(y)| <= H both
     are linked to the pivot, so every pair of interest shares elements of D, at least (|D(x)| + |D(y)| - H) / 2.  With the
-    elements of D in order of their number in the pivot's group, two such pairs meet in the first |D| - shared + 1 elements.
+    elements of D in one order for all of a pivot's group, two such documents meet in their first |D| - shared + 1 elements.
     Prefixes depend on both sizes, so they are taken for each pair of size bands."""
     left = sets.select("doc", F.col("elements").alias("ex"))
     right = sets.select(F.col("doc").alias("pivot"), F.col("elements").alias("ep"))
     d = rest.join(left, "doc").join(right, "pivot")
-    d = d.select("pivot", "doc", "comp", F.size("ex").alias("n"), F.concat(F.array_except("ex", "ep"), F.array_except("ep", "ex")).alias("d"))
-    d = _shared.written(d, "partenum-delta")
+    added, gone = F.array_sort(F.array_except("ex", "ep")), F.array_sort(F.array_except("ep", "ex"))
+    d = d.select("pivot", "doc", "comp", F.size("ex").alias("n"), F.concat(added, gone).alias("d")).withColumn("s", F.size("d"))
+    # no prefix is longer than H and two widths of a band; large groups, whose order differs, keep all
+    room = F.ceil(F.col("n") * (den / num) ** 5 * (2.5 * (den - num)) / (den + num)).cast("int") + 8
+    small = rest.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
+    d = _shared.written(d.join(small, "pivot").withColumn("d", F.when(F.col("m") < LARGE_GROUP, F.slice("d", F.lit(1), room)).otherwise(F.col("d"))), "partenum-delta")
     groups = d.groupBy("pivot").agg(F.max("n").alias("top"), F.mode("comp").alias("main"))
     limit = F.floor(F.col("top") * (2 * (den - num)) / (den + num))
-    groups = groups.select("pivot", "main", limit.alias("h"), F.greatest(F.lit(1), F.floor(limit / 12)).alias("w"))
-    flat = d.select("pivot", "doc", F.explode("d").alias("e"))
+    groups = groups.select("pivot", "main", limit.alias("h"), F.greatest(F.lit(1), F.ceil(limit / 8)).alias("w"))
+    d = d.join(groups, "pivot").withColumn("band", F.floor(F.col("s") / F.col("w"))).withColumn("is_main", F.col("comp") == F.col("main"))
+    # what documents add comes first, which is rare as a rule; in large groups the elements' numbers decide
+    large = d.filter(F.col("m") >= LARGE_GROUP)
+    flat = large.select("pivot", "doc", F.explode("d").alias("e"))
     often = flat.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("f"))
     ordered = flat.join(often, ["pivot", "e"]).groupBy("pivot", "doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "e"))), lambda x: x["e"]).alias("d"))
-    sized = ordered.join(d.select("pivot", "doc", "comp"), ["pivot", "doc"]).join(groups, "pivot").withColumn("s", F.size("d")).withColumn("band", F.floor(F.col("s") / F.col("w")))
-    bands = sized.groupBy("pivot").agg(F.collect_set("band").alias("bands"))
-    each = sized.join(bands, "pivot").withColumn("other", F.explode("bands")).filter("abs(band - other) * w <= h + w")
+    sized = d.filter(F.col("m") < LARGE_GROUP).unionByName(large.drop("d").join(ordered, ["pivot", "doc"]))
+    bands = d.groupBy("pivot").agg(F.collect_set("band").alias("all_bands"), F.collect_set(F.when(~F.col("is_main"), F.col("band"))).alias("some_bands"))
+    met = F.filter(F.when(F.col("is_main"), F.col("some_bands")).otherwise(F.col("all_bands")), lambda x: F.abs(x - F.col("band")) * F.col("w") <= F.col("h") + F.col("w"))
+    each = sized.join(bands, "pivot").withColumn("other", F.explode(met)).drop("all_bands", "some_bands")
     shared = F.greatest(F.lit(1), F.ceil(((F.col("band") + F.col("other")) * F.col("w") - F.col("h")) / 2))
     each = each.withColumn("k", (F.col("s") - shared + 1).cast("int")).filter("k > 0")
-    keyed = each.select("pivot", F.least("band", "other").alias("lo"), F.greatest("band", "other").alias("hi"), "band", "doc", "comp", (F.col("comp") == F.col("main")).alias("is_main"), F.explode(F.expr("slice(d, 1, k)")).alias("e"))
+    keyed = each.select("pivot", F.least("band", "other").alias("lo"), F.greatest("band", "other").alias("hi"), "band", "doc", "comp", "is_main", F.explode(F.expr("slice(d, 1, k)")).alias("e"))
     keyed = _shared.written(keyed, "partenum-prefix")
     key = ["pivot", "lo", "hi", "e"]
     a = keyed.filter("NOT is_main").select(*key, F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("band").alias("ba"))
