@@ -73,7 +73,7 @@ def battery(run: Column) -> Column:
     is_32 = body.rlike("^[A-Z2-7]+$")
     encoding = F.when(is_hex, "hex").when(is_32, "base32").otherwise("base64")
     size = F.when(is_hex, 16.0).when(is_32, 32.0).otherwise(64.0)
-    chars = F.split(body, "(?!^)")
+    chars = F.filter(F.split(body, ""), lambda c: c != "")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     code = F.when(is_hex, F.transform(chars, lambda c: F.instr(F.lit("0123456789abcdef"), F.lower(c))))
     code = code.when(is_32, F.transform(chars, lambda c: F.instr(F.lit(upper + "234567"), c)))
