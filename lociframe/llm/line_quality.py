@@ -25,6 +25,7 @@ from . import _shared
 TRAIN_PER_LABEL = 1500
 STEPS = 150
 PENALTY = 1e-3
+LEAST_SCALE, FEATURE_BOUND = 0.02, 6.0
 CLASSES = 10  # lower, upper, digit, blank, bar, bang, symbol, sentence mark, other ASCII, beyond ASCII
 
 
@@ -134,6 +135,11 @@ def forward_backward(unary: np.ndarray, move: np.ndarray, lines: np.ndarray) ->
     return marg, pair, z
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features by mean and scale, within bounds, so that what training hardly saw does not decide alone."""
+    return np.clip((x - mean) / scale, -FEATURE_BOUND, FEATURE_BOUND)
+
+
 @dataclass
 class LineField:
     """weights: (features, 2) of the line scores, move: (2, 2) of neighbouring labels; mean and scale of the features;
@@ -149,7 +155,7 @@ class LineField:
     def good_share(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Length-weighted mean probability of good lines, for each text."""
         x, size, doc = line_table(raw, offsets)
-        unary = ((x - self.mean) / self.scale) @ self.weights
+        unary = standard(x, self.mean, self.scale) @ self.weights
         w = np.maximum(size, 1).astype(np.float64)
         p = np.zeros(len(size))
         for _, lines in chains(doc):
@@ -177,9 +183,9 @@ def train(texts: list[str], labels: list[int]) -> LineField:
     hold = np.arange(len(texts)) % 4 == 3 if len(texts) >= 40 else np.zeros(len(texts), bool)
     fit = np.flatnonzero(~hold)
     x, size, doc = line_table(*flat([texts[i] for i in fit]))
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_SCALE)
     mean[-1], scale[-1] = 0.0, 1.0
-    x = (x - mean) / scale
+    x = standard(x, mean, scale)
     target = y[fit][doc]
     blocks = list(chains(doc))
     hit = np.zeros((len(doc), 2))

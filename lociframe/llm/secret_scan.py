@@ -27,7 +27,7 @@ FALSE_RATE = 0.001
 #: Two-sided level of a randomness test for a run of LEAST_RUN characters.
 LEVEL = 0.01
 #: How often plain text changes between letters, capitals and digits, per character.
-CHANGES = 0.12
+CHANGES = 0.1
 
 SPAN = "struct<start:int,end:int,kind:int>"
 
