@@ -207,7 +207,7 @@ def write_vcf(df: DataFrame, path: str) -> None:
         first = True
         for batch in batches:
             if first and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
                 first = False
             yield batch
 
