@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from . import _shared
 
 CAPACITY = 2048
-#: Chunks whose ids a worker keeps in each of two generations.
-MEMO_CHUNKS = 200_000
-_BLANKS = str.maketrans({c: " " for c in "\t\n\v\f\r"})
+#: Chunks whose ids a worker keeps in each of two generations, about 150 bytes each.
+MEMO_CHUNKS = 500_000
+_MARKS = ".,!?;:#$%&*\"()-|"
 
 
 class WordTokens:
@@ -42,54 +43,81 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for token, i in vocab.items():
+            self.closes[i] = token.endswith("</w>")
         self.raw: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {}
-
-    def _look_up(self, chunks: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        self.core: dict[str, bytes] = {"": b""}
+
+    def _look_up(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each of parts; words of letters and runs of marks, which are one word each to the tokenizer, go together."""
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            raw, first = ids.tobytes(), 0
+            if len(ends) != len(some):
+                raise ValueError("a word of the tokenizer ends in more than one token")
+            for end in (ends * 4).tolist():
+                yield raw[first:end]
+                first = end
 
     def _learn(self, chunks: set[str]) -> None:
         """Fills the memo for chunks; a plain ASCII word and the marks around it are looked up apart, in lower case."""
-        old, core = self.old, self.core
         if len(self.raw) > MEMO_CHUNKS:
             self.old, self.raw = self.raw, {"": b""}
-            old = self.old
-        parts: dict[str, tuple[str, str, str]] = {}
+        raw, old, core = self.raw, self.old, self.core
+        plain: list[tuple[str, str, str, str]] = []
+        odd: list[str] = []
+        need: set[str] = set()
         for c in chunks:
             have = old.get(c)
             if have is not None:
-                self.raw[c] = have
+                raw[c] = have
                 continue
             if c.isascii():
                 low = c.lower()
-                word = low.strip(".,!?;:#$%&*\"()-")
-                if word.isalpha() and "'" not in c:
+                word = low if low.isalpha() else low.strip(_MARKS)
+                if word.isalpha():
                     at = low.index(word)
-                    parts[c] = (low[:at], word, low[at + len(word) :])
+                    a, b = low[:at], low[at + len(word) :]
+                    plain.append((c, a, word, b))
+                    need.update((a, word, b))
                     continue
-            parts[c] = ("", c, "")
-        if len(core) > 2 * MEMO_CHUNKS:
+            odd.append(c)
+        need = need.difference(core)
+        if len(core) + len(need) > MEMO_CHUNKS:
             core.clear()
-        need = list({p for ps in parts.values() for p in ps if p and p not in core})
-        for p, ids in zip(need, self._look_up(need), strict=True):
-            core[p] = ids
-        core[""] = b""
-        for c, (a, b, d) in parts.items():
-            self.raw[c] = core[a] + core[b] + core[d]
+            core[""] = b""
+            need = {p for x in plain for p in x[1:]} - {""}
+        parts = list(need)
+        core.update(zip(parts, self._look_up(parts), strict=True))
+        for c, a, word, b in plain:
+            raw[c] = core[a] + core[word] + core[b]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            raw[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").translate(_BLANKS).split(" ") if t and not t.isascii() else (t or "").split() if t and not _odd_blanks(t) else (t or "").translate(_BLANKS).split(" ") for t in texts]
-        new = {c for cs in split for c in cs if c not in self.raw}
+        split = [_chunks(t) if t else [] for t in texts]
+        seen = set(chain.from_iterable(split))
+        new = seen.difference(self.raw)
         if new:
-            if len(self.raw) + len(new) > MEMO_CHUNKS:
-                new |= {c for cs in split for c in cs}
-            self._learn(new)
-        raw = self.raw
+            self._learn(seen if len(self.raw) + len(new) > MEMO_CHUNKS else new)
+        look = self.raw.__getitem__
         for cs in split:
-            yield b"".join([raw[c] for c in cs])
+            yield b"".join(map(look, cs))
+
+
+def _chunks(t: str) -> list[str]:
+    if t.isascii() and not _odd_blanks(t):
+        return t.split()
+    for blank in "\t\n\v\f\r":
+        if blank in t:
+            t = t.replace(blank, " ")
+    return t.split(" ")
 
 
 def _odd_blanks(t: str) -> bool:
@@ -244,8 +272,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
         words, task = word_tokens(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 100):
-                part = batch.slice(first, 100)
+            for first in range(0, batch.num_rows, 250):
+                part = batch.slice(first, 250)
                 of, piece, start, length, crc, rank = [], [], [], [], [], []
                 for row, ids in enumerate(words.ids(part.column(1).to_pylist())):
                     ids += b"\0\0\0\0"
