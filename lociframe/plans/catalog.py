@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions import variants as var
+from ..operators import alignment as al
 from ..operators import graph as gr
 from ..operators import intervals as iv
 from ..operators import matrix as mx
+from ..operators import modelling as md
 from ..operators import sequences as sq
 from ..operators import tables as tb
 from ..streaming import batches as sb
@@ -227,6 +229,33 @@ _numbers("anova", lambda t: st.anova(t.orders, "o_orderstatus", "o_totalprice"))
 _numbers("chi_square", lambda t: st.chi_square(t.events.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("o"), F.lit(2000.0).alias("e")), "o", "e"))
 _numbers("spearman", lambda t: st.spearman(t.part.select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b"))
 
+_numbers("wilcoxon", lambda t: md.wilcoxon(t.orders.filter("o_orderstatus <> 'P'").select("o_orderstatus", "o_totalprice"), "o_orderstatus", "o_totalprice"))
+_numbers("ks_test", lambda t: md.ks_test(t.orders.filter("o_orderstatus <> 'P'"), "o_orderstatus", "o_totalprice"))
+_numbers("kendall", lambda t: md.kendall(t.part, "p_size", "p_retailprice"))
+_numbers("glm", lambda t: md.glm(t.orders.select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("x")), "y", ["x"]))
+query("diff_expr", lambda t: md.diff_expr(t.lineitem.filter("l_linestatus IN ('F', 'O')"), "l_suppkey", "l_linestatus", "l_quantity").select("l_suppkey", _r("log2fc").alias("log2fc"), _r("t").alias("t")),
+      "SELECT l_suppkey, round(log2((avg(l_quantity) FILTER (l_linestatus = 'O') + 1) / (avg(l_quantity) FILTER (l_linestatus = 'F') + 1)), 4) AS log2fc, round((avg(l_quantity) FILTER (l_linestatus = 'O') - avg(l_quantity) FILTER (l_linestatus = 'F')) / sqrt(var_samp(l_quantity) FILTER (l_linestatus = 'F') / count(*) FILTER (l_linestatus = 'F') + var_samp(l_quantity) FILTER (l_linestatus = 'O') / count(*) FILTER (l_linestatus = 'O')), 4) AS t FROM lineitem GROUP BY 1")
+query("enrich", lambda t: md.enrich(t.part.filter("p_size < 15").select(F.col("p_partkey").alias("gene")), t.part.groupBy(F.col("p_brand").alias("name")).agg(F.collect_list("p_partkey").alias("genes")), 400).select("term", "overlap", "size"), "SELECT p_brand AS term, count(*) FILTER (p_size < 15) AS overlap, count(*) AS size FROM part GROUP BY 1 HAVING overlap > 0")
+query("enrichment_score", lambda t: md.enrichment_score(t.nation.select(F.col("n_name").alias("gene"), F.col("n_nationkey").cast("double").alias("score")), ["FRANCE", "CHINA"]).select(_r("score").alias("score")), "SELECT round(avg(n_nationkey) FILTER (n_name IN ('FRANCE', 'CHINA')) - avg(n_nationkey), 4) AS score FROM nation")
+query("gsea_score", lambda t: md.gsea_score(t.orders.select(F.col("o_orderkey").alias("gene"), F.col("o_totalprice").alias("score")), t.orders.filter("o_orderkey % 17 = 0").select(F.col("o_orderkey").alias("gene"))).select(_r("score").alias("score")),
+      "WITH m AS (SELECT o_orderkey AS gene, o_totalprice AS score, o_orderkey % 17 = 0 AS hit FROM orders), s AS (SELECT *, CASE WHEN hit THEN abs(score) / (SELECT sum(abs(score)) FROM m WHERE hit) ELSE -1.0 / (SELECT count(*) FROM m WHERE NOT hit) END AS step FROM m), r AS (SELECT sum(step) OVER (ORDER BY score DESC, gene) AS run FROM s) SELECT round(arg_max(run, abs(run)), 4) AS score FROM r")
+query("kmeans", lambda t: md.kmeans(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+query("roc_curve", lambda t: md.roc_curve(t.orders.select((F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_custkey").alias("s")), "y", "s").select("score", _r("fpr", 6).alias("fpr"), _r("tpr", 6).alias("tpr")),
+      "SELECT score, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr FROM (SELECT o_custkey AS score, count(*) FILTER (o_orderstatus = 'F') AS p, count(*) FILTER (o_orderstatus <> 'F') AS n FROM orders GROUP BY 1) WINDOW w AS (ORDER BY score DESC)")
+
+# ---------------------------------------------------------------- alignment and reads
+_RD = lambda t: _DNA(t).select(F.col("k").alias("id"), "s", "t", F.col("s").alias("seq"), F.translate("hex", "0123456789abcdef", "!#%+-3579;=?ACEI").alias("quality"))
+query("align", lambda t: al.align(_DNA(t).select("k", "s", "t"), "s", "t").select("k", "score", "gaps"))
+query("minimizers", lambda t: _DNA(t).select("k", F.size(al.minimizers("s", 5, 4)).alias("n")))
+query("pwm_scan", lambda t: _DNA(t).select("k", F.size(al.pwm_scan("s", [{"A": 1.0}, {"C": 1.0}, {"A": 1.0}])).cast("long").alias("n")), f"SELECT k, CAST(len(list_filter(range(1, 31), lambda i: substr(s, i::INT, 3) = 'ACA')) AS BIGINT) AS n FROM {_DS}")
+query("distance_matrix", lambda t: al.distance_matrix(_DNA(t).join(t.nation.select(F.col("n_nationkey").cast("long").alias("k")), "k"), "k", "s").withColumn("distance", _r("distance", 6)), f"SELECT a.k AS a, b.k AS b, round(hamming(a.s, b.s) / 32.0::DOUBLE, 6) AS distance FROM {_DS} a JOIN {_DS} b ON a.k < b.k WHERE a.k < 25 AND b.k < 25")
+query("trim_quality", lambda t: al.trim_quality(_RD(t), 30).select("id", F.char_length("seq").cast("long").alias("n")), f"SELECT k AS id, CAST(coalesce(list_max(list_filter(range(1, 33), lambda i: ascii(substr(translate(hex, '0123456789abcdef', '!#%+-3579;=?ACEI'), i::INT, 1)) - 33 >= 30)), 0) AS BIGINT) AS n FROM {_DS}")
+query("trim_reads", lambda t: al.trim_reads(_RD(t), 4, 10.0, 8).select("id", F.char_length("seq").alias("n")))
+query("trim_adapters", lambda t: al.trim_adapters(_RD(t), ["ACGTA"], 5).select("id", "seq"), f"SELECT k AS id, CASE WHEN instr(s, 'ACGTA') > 0 THEN left(s, instr(s, 'ACGTA') - 1) ELSE s END AS seq FROM {_DS}")
+query("filter_reads", lambda t: al.filter_reads(_RD(t), 10, 500, 20.0).select("id"), f"SELECT k AS id FROM {_DS} WHERE list_avg(list_transform(range(1, 33), lambda i: ascii(substr(translate(hex, '0123456789abcdef', '!#%+-3579;=?ACEI'), i::INT, 1)) - 33)) >= 20")
+query("read_stats", lambda t: sq.read_stats(_RD(t)).select("total_reads", "total_bases", _r("mean_quality").alias("mean_quality"), _r("gc_mean").alias("gc_mean")), f"SELECT count(*) AS total_reads, CAST(sum(length(s)) AS BIGINT) AS total_bases, round(avg(list_avg(list_transform(range(1, 33), lambda i: ascii(substr(translate(hex, '0123456789abcdef', '!#%+-3579;=?ACEI'), i::INT, 1)) - 33))), 4) AS mean_quality, round(avg(length(regexp_replace(s, '[^GC]', '', 'g')) / 32.0), 4) AS gc_mean FROM {_DS}")
+query("dereplicate", lambda t: al.dereplicate(_DNA(t).select("k", "s"), "k", "s", 1.0, 11).select("s"), f"SELECT DISTINCT s FROM {_DS}")
+
 # ---------------------------------------------------------------- matrices
 _M = lambda t: t.lineitem.groupBy((F.col("l_linenumber") - 1).cast("long").alias("i"), (F.col("l_suppkey") % 6).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
 _MS = "(SELECT (l_linenumber - 1)::BIGINT AS i, l_suppkey % 6 AS j, count(*)::DOUBLE AS v FROM lineitem GROUP BY ALL)"
