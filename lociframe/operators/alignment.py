@@ -17,19 +17,22 @@ def align_pair(a: str, b: str, kind: str = "global", match: float = 1, mismatch:
     best[0][0][0] = 0.0
     local = kind == "local"
     for i in range(1, n + 1):
-        best[1][i][0] = 0.0 if local else gap_open + gap_extend * (i - 1)
+        best[1][i][0] = low if local else gap_open + gap_extend * (i - 1)
         back[1][i][0] = 1
     for j in range(1, m + 1):
-        best[2][0][j] = 0.0 if local else gap_open + gap_extend * (j - 1)
+        best[2][0][j] = low if local else gap_open + gap_extend * (j - 1)
         back[2][0][j] = 2
     top = (0.0, 0, 0, 0)
     for i in range(1, n + 1):
         for j in range(1, m + 1):
             from_all = [best[k][i - 1][j - 1] for k in range(3)]
             k = max(range(3), key=lambda x: from_all[x])
-            s = from_all[k] + (match if a[i - 1] == b[j - 1] else mismatch)
+            before = from_all[k]
+            if local and before <= 0:  # an alignment may begin here
+                before, k = 0.0, 3
+            s = before + (match if a[i - 1] == b[j - 1] else mismatch)
             if local and s < 0:
-                s, k = 0.0, 3
+                s = 0.0
             best[0][i][j], back[0][i][j] = s, k
             for gap, (pi, pj) in ((1, (i - 1, j)), (2, (i, j - 1))):
                 options = [best[k][pi][pj] + (gap_extend if k == gap else gap_open) for k in range(3)]
