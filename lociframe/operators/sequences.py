@@ -107,3 +107,71 @@ def conservation_scores(df: DataFrame, col: str) -> DataFrame:
     n = cell.groupBy("pos", "s").count()
     total = F.sum("count")
     return n.groupBy("pos").agg(F.when(F.count(F.lit(1)) == 1, 1.0).otherwise(1 - (F.log2(total) - F.sum(F.col("count") * F.log2("count")) / total) / F.log2(F.count(F.lit(1)))).alias("score"))
+
+
+# ---------------------------------------------------------------- aligned reads (flag, rname, pos, tlen, seq, cigar)
+
+
+def _flag(bit: int):
+    return F.col("flag").bitwiseAND(F.lit(bit)) != 0
+
+
+def mapping_rate(reads: DataFrame) -> DataFrame:
+    mapped = F.count_if(~_flag(4))
+    return reads.agg(F.count(F.lit(1)).alias("total"), mapped.alias("mapped"), F.count_if(~_flag(4) & ~_flag(256) & ~_flag(2048)).alias("primary_mapped"), F.count_if(_flag(1)).alias("paired"), F.count_if(_flag(2)).alias("proper_pair"), F.count_if(_flag(1024)).alias("duplicates"), F.count_if(_flag(256)).alias("secondary"), F.count_if(_flag(2048)).alias("supplementary"), (mapped / F.count(F.lit(1))).alias("mapping_rate"))
+
+
+def insert_size(reads: DataFrame) -> DataFrame:
+    """Sizes of proper pairs, from their first reads (positive template lengths)."""
+    t = reads.filter(_flag(2) & (F.col("tlen") > 0))
+    return t.agg(F.count(F.lit(1)).alias("count"), F.avg("tlen").alias("mean"), F.median("tlen").alias("median"), F.stddev_samp("tlen").alias("std_dev"), F.percentile("tlen", 0.25).alias("p25"), F.percentile("tlen", 0.75).alias("p75"), F.min("tlen").alias("min"), F.max("tlen").alias("max"))
+
+
+def depth(reads: DataFrame, genome_size: int) -> DataFrame:
+    n = F.when(~_flag(4), F.char_length("seq")).otherwise(0)
+    return reads.agg(F.count(F.lit(1)).alias("total_reads"), F.count_if(~_flag(4)).alias("mapped_reads"), F.sum(n).cast("long").alias("total_aligned_bases"), F.lit(genome_size).cast("long").alias("genome_size"), (F.sum(n) / genome_size).alias("mean_depth"))
+
+
+def coverage_hist(reads: DataFrame, bin_size: int = 1000) -> DataFrame:
+    """(rname, bin, reads): mapped reads that begin in each bin."""
+    return reads.filter(~_flag(4)).groupBy("rname", F.floor((F.col("pos") - 1) / bin_size).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+def gc_bias(reads: DataFrame, bins: int = 20) -> DataFrame:
+    """(gc_bin, reads) by the share of G and C."""
+    return reads.groupBy(F.least(F.floor(seq.gc_content("seq") * bins), F.lit(bins - 1)).cast("long").alias("gc_bin")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+def on_target(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """Share of mapped reads that overlap a region."""
+    from . import intervals as iv
+
+    start = F.col("pos") - 1
+    spans = reads.filter(~_flag(4)).select(F.monotonically_increasing_id().alias("row"), F.col("rname").alias("chrom"), start.alias("start"), (start + F.char_length("seq")).alias("end"))
+    hit = iv.intersect(spans, regions).agg(F.count(F.lit(1)).alias("on"))
+    return spans.agg(F.count(F.lit(1)).alias("all")).crossJoin(F.broadcast(hit)).select((F.col("on") / F.greatest("all", F.lit(1))).alias("fraction"))
+
+
+def qc_report(reads: DataFrame) -> DataFrame:
+    """read_stats with the shares of N and of repeated sequences."""
+    n = reads.agg((F.sum(F.char_length("seq") - F.char_length(F.translate("seq", "Nn", ""))) / F.sum(F.char_length("seq"))).alias("n_pct"))
+    dup = reads.groupBy("seq").count().agg(F.when(F.sum("count") > 0, 1 - F.count(F.lit(1)) / F.sum("count")).alias("duplicate_pct"))
+    return read_stats(reads).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(dup))
+
+
+def liftover(t: DataFrame, chain: DataFrame) -> DataFrame:
+    """Intervals (chrom, start, end) to another build by a table of blocks (chrom, start, end, to_chrom, offset) that hold
+    them whole."""
+    from . import intervals as iv
+
+    met = iv.overlap_pairs(t, chain).filter("start >= b_start AND end <= b_end")
+    rest = [c for c in t.columns if c not in ("chrom", "start", "end")]
+    return met.select(F.col("b_to_chrom").alias("chrom"), (F.col("start") + F.col("b_offset")).alias("start"), (F.col("end") + F.col("b_offset")).alias("end"), *rest)
+
+
+def scan_bio(df: DataFrame, col: str) -> DataFrame:
+    """(kind, value) of identifiers and sequences in free text."""
+    # fixed values: patterns of common identifiers
+    kinds = {"rsid": r"\brs[0-9]{3,}\b", "ensembl": r"\bENS[A-Z]*[GTP][0-9]{11}\b", "refseq": r"\b[NX][MRP]_[0-9]{6,}(?:\.[0-9]+)?\b", "go": r"\bGO:[0-9]{7}\b", "dna": r"\b[ACGT]{12,}\b"}
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(col, F.lit(p), F.lit(0)).alias("values")) for k, p in kinds.items()])
+    return df.select("*", F.explode(found).alias("__f")).select(*df.columns, F.col("__f.kind").alias("kind"), F.explode("__f.values").alias("value"))

@@ -207,6 +207,18 @@ query("het_hom_ratio", lambda t: sq.het_hom_ratio(_VAR(t)).select(_r("ratio", 6)
 query("decompose_mnp", lambda t: _VAR(t).select("k", F.explode(var.decompose_mnp("pos", "ref", "alt")).alias("v")).select("k", "v.pos", "v.ref", "v.alt"), f"SELECT k, pos + i - 1 AS pos, substr(ref, i::INT, 1) AS ref, substr(alt, i::INT, 1) AS alt FROM {_VS}, range(1, 4) AS r(i) WHERE length(ref) = length(alt) AND i <= length(ref) AND substr(ref, i::INT, 1) <> substr(alt, i::INT, 1) UNION ALL SELECT k, pos, ref, alt FROM {_VS} WHERE length(ref) <> length(alt)")
 query("flagstat", lambda t: sq.flagstat(t.orders.select((F.col("o_orderkey") % 4096).alias("flag"))).select("total", "mapped", "paired", "duplicate"), "SELECT count(*) AS total, count(*) FILTER ((o_orderkey % 4096) & 4 = 0) AS mapped, count(*) FILTER ((o_orderkey % 4096) & 1 <> 0) AS paired, count(*) FILTER ((o_orderkey % 4096) & 1024 <> 0) AS duplicate FROM orders")
 
+_AL = lambda t: t.orders.select((F.col("o_orderkey") % 4096).alias("flag"), F.concat(F.lit("chr"), F.col("o_custkey") % 4).alias("rname"), (F.col("o_orderkey") * 13 + 1).alias("pos"), (F.col("o_custkey") % 700 - 200).alias("tlen"), F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+_AS = "(SELECT o_orderkey % 4096 AS flag, concat('chr', o_custkey % 4) AS rname, o_orderkey * 13 + 1 AS pos, o_custkey % 700 - 200 AS tlen, translate(md5(o_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM orders)"
+query("mapping_rate", lambda t: sq.mapping_rate(_AL(t)).select("total", "mapped", "primary_mapped", "proper_pair", _r("mapping_rate", 6).alias("mapping_rate")), f"SELECT count(*) AS total, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 4 = 0 AND flag & 256 = 0 AND flag & 2048 = 0) AS primary_mapped, count(*) FILTER (flag & 2 <> 0) AS proper_pair, round(count(*) FILTER (flag & 4 = 0)::DOUBLE / count(*), 6) AS mapping_rate FROM {_AS}")
+query("insert_size", lambda t: sq.insert_size(_AL(t)).select("count", _r("mean").alias("mean"), "median", "p25", "p75", "min", "max"), f"SELECT count(*) AS count, round(avg(tlen), 4) AS mean, median(tlen) AS median, quantile_cont(tlen, 0.25) AS p25, quantile_cont(tlen, 0.75) AS p75, min(tlen) AS min, max(tlen) AS max FROM {_AS} WHERE flag & 2 <> 0 AND tlen > 0")
+query("depth", lambda t: sq.depth(_AL(t), 100000).withColumn("mean_depth", _r("mean_depth")), f"SELECT count(*) AS total_reads, count(*) FILTER (flag & 4 = 0) AS mapped_reads, CAST(sum(length(seq)) FILTER (flag & 4 = 0) AS BIGINT) AS total_aligned_bases, 100000::BIGINT AS genome_size, round(sum(length(seq)) FILTER (flag & 4 = 0) / 100000.0, 4)::DOUBLE AS mean_depth FROM {_AS}")
+query("coverage_hist", lambda t: sq.coverage_hist(_AL(t), 5000), f"SELECT rname, (pos - 1) // 5000 AS bin, count(*) AS reads FROM {_AS} WHERE flag & 4 = 0 GROUP BY ALL")
+query("gc_bias", lambda t: sq.gc_bias(_AL(t)), f"SELECT least(CAST(floor(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) * 20) AS BIGINT), 19) AS gc_bin, count(*) AS reads FROM {_AS} GROUP BY 1")
+query("on_target", lambda t: sq.on_target(_AL(t), t.nation.select(F.concat(F.lit("chr"), F.col("n_nationkey") % 4).alias("chrom"), (F.col("n_nationkey") * 1000).cast("long").alias("start"), (F.col("n_nationkey") * 1000 + 400).cast("long").alias("end"))).select(_r("fraction", 6).alias("fraction")),
+      f"SELECT round(count(*) FILTER (EXISTS (SELECT 1 FROM nation WHERE concat('chr', n_nationkey % 4) = rname AND pos - 1 < n_nationkey * 1000 + 400 AND n_nationkey * 1000 < pos - 1 + length(seq)))::DOUBLE / count(*), 6) AS fraction FROM {_AS} WHERE flag & 4 = 0")
+query("liftover", lambda t: sq.liftover(_spans(t), t.events.groupBy(F.col("event_type").alias("chrom")).agg(F.lit(0).cast("long").alias("start"), F.lit(4000000000).alias("end"), F.first("event_type").alias("to_chrom"), F.lit(1000).cast("long").alias("offset"))), f"SELECT chrom, start + 1000 AS start, \"end\" + 1000 AS \"end\", event_id FROM {_sp()}")
+query("scan_bio", lambda t: sq.scan_bio(t.orders.select("o_orderkey", F.concat(F.lit("see rs"), F.col("o_orderkey"), F.lit(" and ACGTACGTACGTA")).alias("x")), "x").select("o_orderkey", "kind", "value"), "SELECT o_orderkey, 'dna' AS kind, 'ACGTACGTACGTA' AS value FROM orders UNION ALL SELECT o_orderkey, 'rsid', concat('rs', o_orderkey) FROM orders WHERE o_orderkey >= 100")
+
 # ---------------------------------------------------------------- statistics
 query("lm", lambda t: st.lm(t.lineitem, "l_quantity", "l_extendedprice").select(_r("slope").alias("slope"), _r("r_squared", 6).alias("r_squared")), "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared FROM lineitem")
 query("hist", lambda t: st.hist(t.orders, "o_totalprice", 20), "SELECT least(CAST(floor((o_totalprice - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS bin, count(*) AS count FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
