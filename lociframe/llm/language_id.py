@@ -23,7 +23,7 @@ from . import _shared
 BUCKET_BITS = 16
 DIMS = 16
 #: Bound of the training sample: about so many documents of each language.
-TRAIN_PER_LANG = 1000
+TRAIN_PER_LANG = 600
 EPOCHS = 4
 RATE = 0.5
 #: Share of confident, right validation texts that the threshold may reject.
@@ -112,8 +112,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct subwords and their shares, for each text."""
     out = []
-    for at in range(0, len(texts), 200):
-        idx, n = subwords(texts[at : at + 200])
+    for at in range(0, len(texts), 50):
+        idx, n = subwords(texts[at : at + 50])
         for part in np.split(idx, np.cumsum(n)[:-1]):
             u, c = np.unique(part, return_counts=True)
             out.append((u, (c / max(1, len(part))).astype(np.float32)))

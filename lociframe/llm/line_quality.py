@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _shared
 
 #: Bound of the training sample: about so many documents of each label.
-TRAIN_PER_LABEL = 1500
+TRAIN_PER_LABEL = 1000
 STEPS = 150
 PENALTY = 1e-3
 LEAST_SCALE, FEATURE_BOUND = 0.02, 6.0
@@ -182,7 +182,9 @@ def train(texts: list[str], labels: list[int]) -> LineField:
         return LineField()
     hold = np.arange(len(texts)) % 4 == 3 if len(texts) >= 40 else np.zeros(len(texts), bool)
     fit = np.flatnonzero(~hold)
-    x, size, doc = line_table(*flat([texts[i] for i in fit]))
+    parts = [line_table(*flat([texts[i] for i in fit[at : at + 100]])) for at in range(0, len(fit), 100)]
+    x, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] + 100 * k for k, p in enumerate(parts)])
+    del parts
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_SCALE)
     mean[-1], scale[-1] = 0.0, 1.0
     x = standard(x, mean, scale)
@@ -210,7 +212,7 @@ def train(texts: list[str], labels: list[int]) -> LineField:
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field = LineField(theta[:-4].reshape(-1, 2).copy(), theta[-4:].reshape(2, 2).copy(), mean, scale)
     check = np.flatnonzero(hold) if hold.any() and len(set(y[hold].tolist())) == 2 else fit
-    share = field.good_share(*flat([texts[i] for i in check]))
+    share = np.concatenate([field.good_share(*flat([texts[i] for i in check[at : at + 100]])) for at in range(0, len(check), 100)])
     a, b = 4.0, -2.0
     lab = y[check]
     for _ in range(400):  # logistic curve with the usual softened targets
