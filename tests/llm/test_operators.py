@@ -358,15 +358,16 @@ def shingles(t, n):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-def test_jaccard_join(spark, n, num):
+@pytest.mark.parametrize(("n", "num", "large"), [(3, 90, 64), (3, 90, 2), (5, 80, 64), (5, 80, 2)])
+def test_jaccard_join(spark, monkeypatch, n, num, large):
+    monkeypatch.setattr(partenum_join, "LARGE_GROUP", large)
     rng = random.Random(n)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     texts, common = [*EDGE, "A b", "a B"], [word() for _ in range(60)]
     for size in (8, 12, 20, 40, 150):
         for _ in range(4):
             base = [word() for _ in range(size)]
-            for k in range(14):
+            for k in range(24):
                 copy = list(base)
                 for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
                     copy[rng.randrange(size)] = word()
