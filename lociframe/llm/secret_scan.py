@@ -1,11 +1,12 @@
 """Secret scan with DataFrame functions only.
 
 Three kinds follow fixed patterns (assign, access, hex).  A fourth, random, comes from a battery of randomness tests: each
-long run of key characters is taken for hexadecimal, base 32 or base 64 by its characters; chi-squared tests the uniformity
-of that alphabet, a runs test (above and below the alphabet's middle) and the serial correlation of neighbours test
-independence.  A run that passes them is a candidate; how unlikely plain text is to change its character class so often
-gives its p-value, and of a document's candidates those stay that the Benjamini-Hochberg procedure keeps at FALSE_RATE,
-with the level of each test shared among the run's length.
+long run of key characters is taken for hexadecimal, base 32, 36, 62 or 64 by its characters; chi-squared tests the
+uniformity of that alphabet, a runs test (above and below the alphabet's middle) and the serial correlation of neighbours
+test independence.  A run that passes them is a candidate; its p-value is its likelihood as text (pairs of letters, changes
+of character class, in one case or in both) over its likelihood as a random string of its encoding, which under the text
+model is at most p with probability p (Markov's inequality).  Of a document's candidates those stay that the
+Benjamini-Hochberg procedure keeps at FALSE_RATE, with the level of each test shared among the run's length.
 
 Only documents that a plain pattern match finds are taken apart; the others pass by.  Null texts are empty; texts of any length
 are searched whole; spans count code points.
@@ -13,6 +14,9 @@ are searched whole; spans count code points.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +24,27 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Runs of key characters that the battery looks at: with a digit and a letter, of a length at which its tests have power.
-LEAST_RUN = 24
+LEAST_RUN = 16
 RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{LEAST_RUN},}}={{0,2}}(?![A-Za-z0-9+/_-])"
 KINDS = ["assign", "access", "hex", "random"]
 FALSE_RATE = 0.001
 #: Two-sided level of a randomness test for a run of LEAST_RUN characters.
 LEVEL = 0.01
-#: How often plain text changes between letters, capitals and digits, per character.
-CHANGES = 0.1
+#: -2 log2 of a letter's probability in text, in base 36: a row of letters that follow no letter, then a row for each letter before.
+LETTERS = """
+    7ca95cba7gf9b78bf8889dehef ba9a9dce9je695caj685cdffci 7fdc6ffd5aj6eb7dj89b7hhk9j 7ecd6ed78kc8eb5ej9a6ahidcj
+    6cb94ede5ei9ea8eja899fhidj 8e978cceaji9b6cbb668dce9ei 7fcc78fe4kjaeb5eh8b99hhjdj 8f9d4db77kjad8aej7aa9gfkdg
+    6fed3gfe7kjcdb6fj9b8cheldj 9c898aaebkh8a56bia77dbigic 8fdd3gfebjecdb7ejb6b6ghkhi 9dec2ccd7khba8cdja7bbhgkgj
+    7fda4efe6ki7da7ejc989ggl9i 5aec4gfe7kicab76jc9b9hhlfj 8f876c7e9jfcda8djb75behldi bcb999bebic885aaj5988caghi
+    6gcc5ffc8kh6db7ai5a89ehgaj bf9d9gfebkjbebcedaab2hhkhi 7faa4fce6kccaa6dj989acggbj 9gad5ffa6kecdb9afc758cgldj
+    7fcd5gf56kjbdb8dg78aahdjaj 8bab6fbe9kj786c9j776dhikij 4gbd3gbe6kjdebafjcabdhhlhj 7edd6gf64kibe97fi99bdhdlhj
+    8g8d7gfd8kjccba5jcb3dhhhdi bfbc8gde9kj9a946ja57dgclhe 6fed2ffd9kjdebbejbbbdhhkai
+"""
+#: Probability in text of the next class (lower case, upper case, digit, sign) after each class, and of the first one; letters of
+#: a run in one case all count as lower case.
+ONE_CASE = [[0.9, 0, 0.06, 0.04], [0, 0, 0, 0], [0.15, 0, 0.68, 0.17], [0.6, 0, 0.33, 0.07]]
+TWO_CASES = [[0.87, 0.05, 0.04, 0.04], [0.5, 0.38, 0.06, 0.06], [0.1, 0.08, 0.66, 0.16], [0.36, 0.26, 0.3, 0.08]]
+FIRST = [0.5, 0.25, 0.15, 0.1]
 
 SPAN = "struct<start:int,end:int,kind:int>"
 
@@ -66,19 +83,55 @@ def _two_sided(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+def _constants(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def battery(run: Column) -> Column:
     """Struct (encoding, p_uniform, p_runs, p_serial, p_text) of a string column."""
-    body = F.regexp_replace(run, "=+$", "")
+    return _let(F.regexp_replace(run, "=+$", ""), lambda body: _let(_encoding(body), lambda e: _let(_coded(body, e), lambda x: _tests(e, x))))
+
+
+def _encoding(body: Column) -> Column:
     is_hex = body.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    is_32 = body.rlike("^[A-Z2-7]+$")
-    encoding = F.when(is_hex, "hex").when(is_32, "base32").otherwise("base64")
-    size = F.when(is_hex, 16.0).when(is_32, 32.0).otherwise(64.0)
+    is_32 = body.rlike("^([A-Z2-7]+|[a-z2-7]+)$")
+    is_36 = body.rlike("^([0-9a-z]+|[0-9A-Z]+)$")
+    is_62 = body.rlike("^[0-9A-Za-z]+$")
+    of = lambda *x: F.when(is_hex, x[0]).when(is_32, x[1]).when(is_36, x[2]).when(is_62, x[3]).otherwise(x[4])
+    mixed = body.rlike("[a-z]") & body.rlike("[A-Z]")
+    return F.struct(of("hex", "base32", "base36", "base62", "base64").alias("encoding"), of(16.0, 32.0, 36.0, 62.0, 64.0).alias("size"), mixed.alias("mixed"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _coded(body: Column, e: Column) -> Column:
+    """Struct of each character's place in the encoding's alphabet, and of four times its letter's number and its class."""
     chars = F.filter(F.split(body, ""), lambda c: c != "")
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    code = F.when(is_hex, F.transform(chars, lambda c: F.instr(F.lit("0123456789abcdef"), F.lower(c))))
-    code = code.when(is_32, F.transform(chars, lambda c: F.instr(F.lit(upper + "234567"), c)))
-    code = code.otherwise(F.transform(chars, lambda c: F.instr(F.lit(upper + upper.lower() + "0123456789+/"), F.translate(c, "-_", "+/"))))
-    values = F.transform(code, lambda v: (v - 1).cast("double"))
+    code = F.when(e["size"] == 16, F.transform(chars, lambda c: F.instr(F.lit("0123456789abcdef"), F.lower(c))))
+    code = code.when(e["size"] == 32, F.transform(chars, lambda c: F.instr(F.lit(_UPPER + "234567"), F.upper(c))))
+    code = code.when(e["size"] == 36, F.transform(chars, lambda c: F.instr(F.lit(_UPPER + "0123456789"), F.upper(c))))
+    code = code.otherwise(F.transform(chars, lambda c: F.instr(F.lit(_UPPER + _UPPER.lower() + "0123456789+/"), F.translate(c, "-_", "+/"))))
+    kind = lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), e["mixed"].cast("int")).when(c.between("0", "9"), 2).otherwise(3)
+    spelt = F.transform(chars, lambda c: F.instr(F.lit(_UPPER), F.upper(c)) * 4 + kind(c))
+    return F.struct(F.transform(code, lambda v: (v - 1).cast("double")).alias("values"), spelt.alias("spelt"))
+
+
+def _neighbours(x: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    return F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), fn)
+
+
+def _total(x: Column, zero: int | float) -> Column:
+    return F.aggregate(x, F.lit(zero), lambda a, v: a + v)
+
+
+def _tests(e: Column, x: Column) -> Column:
+    values, size = x["values"], e["size"]
     n = F.size(values).cast("double")
     # chi-squared over the alphabet, to a normal score after Wilson and Hilferty
     squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(values, lambda w: w == v)).cast("double"), F.lit(2.0)))
@@ -87,24 +140,29 @@ def battery(run: Column) -> Column:
     z_uniform = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     # runs above and below the middle
     above = F.transform(values, lambda v: (v >= size / 2).cast("int"))
-    ups = F.aggregate(above, F.lit(0), lambda a, v: a + v).cast("double")
+    ups = _total(above, 0).cast("double")
     downs = n - ups
-    pairs = F.zip_with(F.slice(above, F.lit(1), F.size(above) - 1), F.slice(above, F.lit(2), F.size(above) - 1), lambda a, b: (a != b).cast("int"))
-    runs = 1 + F.aggregate(pairs, F.lit(0), lambda a, v: a + v).cast("double")
+    runs = 1 + _total(_neighbours(above, lambda a, b: (a != b).cast("int")), 0).cast("double")
     mean = 2 * ups * downs / n + 1
     var = (mean - 1) * (mean - 2) / (n - 1)
     z_runs = F.when((ups == 0) | (downs == 0), F.lit(50.0)).otherwise((runs - mean) / F.sqrt(F.greatest(var, F.lit(1e-9))))
     # correlation of neighbours
-    avg = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - avg) * (v - avg))
-    serial = F.aggregate(F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: (a - avg) * (b - avg)), F.lit(0.0), lambda a, v: a + v)
-    z_serial = F.when(spread <= 0, F.lit(50.0)).otherwise((serial / spread + 1 / n) * F.sqrt(n))
-    # changes of character class, against plain text: Chernoff's bound of the binomial tail
-    shape = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[a-z]"), 2).otherwise(3))
-    changes = F.aggregate(F.zip_with(F.slice(shape, F.lit(1), F.size(shape) - 1), F.slice(shape, F.lit(2), F.size(shape) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, v: a + v)
-    q = F.least(F.greatest(changes / (n - 1), F.lit(CHANGES)), F.lit(1 - 1e-9))
-    p_text = F.exp(-(n - 1) * (q * F.log(q / CHANGES) + (1 - q) * F.log((1 - q) / (1 - CHANGES))))
-    return F.struct(encoding.alias("encoding"), _two_sided(F.greatest(z_uniform, F.lit(0.0))).alias("p_uniform"), _two_sided(z_runs).alias("p_runs"), _two_sided(z_serial).alias("p_serial"), p_text.alias("p_text"))
+    off = _let(_total(values, 0.0) / n, lambda avg: F.transform(values, lambda v: v - avg))
+    z_serial = _let(off, lambda o: _let(F.aggregate(o, F.lit(0.0), lambda a, v: a + v * v), lambda spread: F.when(spread <= 0, F.lit(50.0)).otherwise((_total(_neighbours(o, lambda a, b: a * b), 0.0) / spread + 1 / n) * F.sqrt(n))))
+    # likelihood as text over that as a random string
+    changes = lambda table: _constants([math.log(p) if p else 0.0 for row in table for p in row])
+    letters = _constants([-int(v, 36) * math.log(2) / 2 for v in "".join(LETTERS.split())])
+
+    def spelt(before: Column, c: Column) -> Column:
+        letter = F.get(letters, F.shiftright(before, 2) * 26 + F.shiftright(c, 2) - 1)
+        return F.when(c >= 4, letter).when(c == 2, -math.log(10)).otherwise(-math.log(4))
+
+    def as_text(a: Column, b: Column) -> Column:
+        return F.get(changes(ONE_CASE + TWO_CASES), e["mixed"].cast("int") * 16 + a % 4 * 4 + b % 4) + spelt(a, b)
+
+    likely = _let(F.get(x["spelt"], F.lit(0)), lambda c: F.get(changes([FIRST]), c % 4) + spelt(F.lit(0), c)) + _total(_neighbours(x["spelt"], as_text), 0.0)
+    p_text = F.exp(F.least(likely + n * F.log(size), F.lit(0.0)))
+    return F.struct(e["encoding"].alias("encoding"), _two_sided(F.greatest(z_uniform, F.lit(0.0))).alias("p_uniform"), _two_sided(z_runs).alias("p_runs"), _two_sided(z_serial).alias("p_serial"), p_text.alias("p_text"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -141,6 +141,29 @@ def test_random_strings_and_prose(spark):
     assert sum(got[i] for i in range(40)) >= 34 and not any(got[i] for i in range(40, 44))
 
 
+def test_random_strings_of_each_encoding(spark):
+    rng = random.Random(11)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = ["0123456789ABCDEF", lower.upper() + "234567", lower + "234567", lower + digits, lower.upper() + digits, lower.upper() + lower + digits, lower.upper() + lower + digits + "+/"]
+    cases = [(a, n) for a in alphabets for n in (16, 20, 24, 32, 64)]
+    keys = []
+    for a, n in cases:
+        for _ in range(100):  # with a digit and a letter, as RUN asks
+            k = "".join(rng.choices(a, k=n))
+            keys.append(k[:-2] + rng.choice([c for c in a if c in digits]) + rng.choice([c for c in a if c.isalpha()]))
+    got = {r.doc_id: r.n_random for r in secret_scan.secret_report(docs(spark, [f"see {k} here" for k in keys])).collect()}
+    shares = {c: sum(got[i * 100 + j] for j in range(100)) / 100 for i, c in enumerate(cases)}
+    assert min(shares.values()) >= 0.85
+    words = "the quarterly report of hidden rivers names seven little villages where people were counting their birds in winter".split()
+    text = []
+    for j in ("", "-", "_", "/"):
+        for shape in (str.lower, str.upper, str.capitalize):
+            for i in range(len(words) - 6):
+                text.append(j.join([*map(shape, words[i : i + 4]), str(rng.randrange(3000)), *map(shape, words[i + 4 : i + 6])]))
+    got = [r.n_random for r in secret_scan.secret_report(docs(spark, [f"see {k} here" for k in text])).collect()]
+    assert sum(got) == 0
+
+
 def test_masks(spark):
     found = secret_scan.scan_secrets(docs(spark, ["a token=" + "0f" * 20 + " b", "clean", None]), keep=["doc_id", "text"])
     assert [r.text for r in secret_scan.masked(found, "text", "[X]").orderBy("doc_id").collect()] == ["a [X] b", "clean", None]
