@@ -79,21 +79,27 @@ class Graph:
             comp = new
         raise RuntimeError("the components did not settle")
 
-    def shortest_path(self, a, b, max_steps: int = 100) -> list | None:
-        """Nodes of an unweighted path: frontiers of arrays of nodes, one kept for each node reached."""
-        both = self._both().distinct().persist()
-        seen = self.nodes.filter(F.col("id") == a).select("id", F.array("id").alias("path"))
-        front = seen
-        for _ in range(max_steps):
+    def shortest_path(self, a, b, max_steps: int | None = None) -> list | None:
+        """Nodes of an unweighted path, None if there is none: frontiers of arrays of nodes, one kept for each node reached,
+        until b is met or nothing new is reached.  Raises if a bound max_steps is given and reached before that."""
+        settle = (lambda df: df.checkpoint()) if _has_dir(self.nodes) else (lambda df: df.localCheckpoint())
+        both = settle(self._both().select("a", "b").distinct())
+        front = settle(self.nodes.filter(F.col("id") == a).select("id", F.array("id").alias("path")))
+        seen, step = front.select("id"), 0
+        while True:
             hit = front.filter(F.col("id") == b).select("path").head()
             if hit:
                 return hit[0]
+            if max_steps is not None and step >= max_steps:
+                raise RuntimeError(f"no path of {max_steps} edges or fewer, and the search did not end")
             nxt = both.join(front, both.a == front.id).groupBy("b").agg(F.min("path").alias("path"))
-            nxt = nxt.join(seen, nxt.b == seen.id, "left_anti").select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")).persist()
-            if not nxt.limit(1).count():
+            front = settle(nxt.join(seen, nxt.b == seen.id, "left_anti").select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")))
+            if front.isEmpty():
                 return None
-            seen, front = seen.unionByName(nxt), nxt
-        return None
+            step += 1
+            seen = seen.unionByName(front.select("id"))
+            if step % 16 == 0:
+                seen = settle(seen.coalesce(both.rdd.getNumPartitions()))
 
 
 def _has_dir(df: DataFrame) -> bool:

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lociframe.functions import stats as st
@@ -104,3 +105,13 @@ def test_empty_tables(spark):
     assert tb.cumsum(empty, "v", "k").count() == 0
     assert tb.lag(empty, "v", "k").count() == 0
     assert tb.inner_join(empty, empty, "k").count() == 0
+
+
+def test_long_path(spark):
+    nodes = spark.range(108)
+    edges = spark.range(106).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to"))
+    g = gr.graph(nodes, edges)
+    assert g.shortest_path(0, 105) == list(range(106))
+    assert g.shortest_path(0, 3, max_steps=3) == [0, 1, 2, 3]
+    with pytest.raises(RuntimeError):
+        g.shortest_path(0, 4, max_steps=3)
