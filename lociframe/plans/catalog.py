@@ -267,6 +267,7 @@ query("trim_adapters", lambda t: al.trim_adapters(_RD(t), ["ACGTA"], 5).select("
 query("filter_reads", lambda t: al.filter_reads(_RD(t), 10, 500, 20.0).select("id"), f"SELECT k AS id FROM {_DS} WHERE list_avg(list_transform(range(1, 33), lambda i: ascii(substr(translate(hex, '0123456789abcdef', '!#%+-3579;=?ACEI'), i::INT, 1)) - 33)) >= 20")
 query("read_stats", lambda t: sq.read_stats(_RD(t)).select("total_reads", "total_bases", _r("mean_quality").alias("mean_quality"), _r("gc_mean").alias("gc_mean")), f"SELECT count(*) AS total_reads, CAST(sum(length(s)) AS BIGINT) AS total_bases, round(avg(list_avg(list_transform(range(1, 33), lambda i: ascii(substr(translate(hex, '0123456789abcdef', '!#%+-3579;=?ACEI'), i::INT, 1)) - 33))), 4) AS mean_quality, round(avg(length(regexp_replace(s, '[^GC]', '', 'g')) / 32.0), 4) AS gc_mean FROM {_DS}")
 query("dereplicate", lambda t: al.dereplicate(_DNA(t).select("k", "s"), "k", "s", 1.0, 11).select("s"), f"SELECT DISTINCT s FROM {_DS}")
+query("dereplicate_similar", lambda t: al.dereplicate(_DNA(t).select("k", "s"), "k", "s", 0.05, 11).select("k", "members", "size"))
 
 # ---------------------------------------------------------------- matrices
 _M = lambda t: t.lineitem.groupBy((F.col("l_linenumber") - 1).cast("long").alias("i"), (F.col("l_suppkey") % 6).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("v"))
