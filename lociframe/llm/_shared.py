@@ -22,11 +22,12 @@ CHUNK_BYTES = 1 << 19
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share.  Only where that is unset (tests) a local
-    temporary folder stands in for it."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="lociframe-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lociframe-")  # one machine only: tests and trials
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lociframe/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -36,7 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -161,20 +171,24 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.  edges: (a, b) longs.  Returns (node,
-    component_id), component_id the smallest node that links reach; nodes without an edge do not appear.  Each round's edges
-    are written to the shared folder; the number of rounds grows with the logarithm of the longest path, and a node of many
-    edges only adds rows to a minimum that is taken before the shuffle."""
+    component_id), component_id the smallest node that links reach; nodes without an edge do not appear.  Each step is
+    written to the shared folder and superseded tables are deleted; the number of rounds grows with the logarithm of the
+    longest path.  Minima are written before they are joined back, so both sides of each join are plain scans, and adaptive
+    execution may split the rows of a node of many edges among tasks."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e")
     before = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{name}-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         # small star: u and its smaller neighbours go to the smallest of them
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e")
+        for old in (e, low, large, least):
+            discard(old)
+        e = after
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

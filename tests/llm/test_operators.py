@@ -381,9 +381,10 @@ def shingles(t, n):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-@pytest.mark.parametrize(("n", "num", "large"), [(3, 90, 64), (3, 90, 2), (5, 80, 64), (5, 80, 2)])
-def test_jaccard_join(spark, monkeypatch, n, num, large):
-    monkeypatch.setattr(partenum_join, "LARGE_GROUP", large)
+@pytest.mark.parametrize(("n", "num", "hot", "tile"), [(3, 90, 1000, 1000), (3, 90, 3, 4), (5, 80, 1000, 1000), (5, 80, 3, 4)])
+def test_jaccard_join(spark, monkeypatch, n, num, hot, tile):
+    monkeypatch.setattr(partenum_join, "HOT", hot)
+    monkeypatch.setattr(partenum_join, "TILE", tile)
     rng = random.Random(n)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     texts, common = [*EDGE, "A b", "a B"], [word() for _ in range(60)]
@@ -397,6 +398,9 @@ def test_jaccard_join(spark, monkeypatch, n, num, large):
                 if k % 7 == 6:
                     copy += common
                 texts.append(" ".join(copy))
+    for k in range(60):  # a crowd just below and above the similarity, around one passage
+        texts.append(" ".join(common + [word() for _ in range(k % 14)]))
+        texts.append(" ".join([word() for _ in range(k % 9)] + common * 2))
     got = {r.doc_id: r for r in partenum_join.jaccard_components(docs(spark, texts), n, num, 100).collect()}
     sets = [shingles(t, n) for t in texts]
     low = list(range(len(texts)))
@@ -418,6 +422,48 @@ def test_jaccard_join(spark, monkeypatch, n, num, large):
     assert nothing.count() == 0
 
 
+def test_jaccard_join_with_repeated_and_null_ids(spark):
+    near = ["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 1 + tail for tail in ("", "0", "1 2 3 4 5 6 7 8 9")]
+    rows = [(4, near[0]), (4, near[0]), (4, "one other text of five words"), (7, near[1]), (9, near[2]), (8, "one other text of five words"), (None, near[0]), (None, None), (5, None)]
+    got = sorted(partenum_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect(), key=str)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 24, 0), (4, 4, 4), (4, 24, 4), (4, 24, 4), (5, 0, 5), (7, 25, 4), (8, 4, 4), (9, 33, 9)]
+
+
+def test_each_band_enumerates_subsets():
+    for num in (50, 80, 90, 95):
+        bands = partenum_join.Bands(num, 100)
+        bands.of(30_000)
+        for high, cut in zip(list(bands.high), list(bands.cuts), strict=True):
+            k = 2 * high * (100 - num) // (100 + num)
+            if not k:
+                assert cut is None
+                continue
+            differences, first, spare = cut
+            assert differences == k and 2 * first - k - 1 == spare >= 0
+            s = np.sort(np.random.default_rng(high).integers(0, 1 << 63, high, dtype=np.uint64) * np.uint64(2))
+            assert len(bands.signatures(s)) >= first * partenum_join.SECOND - spare > first
+
+
+@settings(max_examples=200, deadline=None)
+@given(hs.lists(hs.tuples(hs.integers(0, 2**56 - 1), hs.integers(-(2**62), 2**62)), min_size=1, max_size=30))
+def test_blocks_of_signatures(rows):
+    sig, doc = np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    got = partenum_join._unpack(partenum_join._pack(sig, doc))
+    assert (got[0] == sig).all() and (got[1] == doc).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(hs.integers(0, 3000), hs.integers(0, 3000), hs.integers(0, 400))
+def test_sketches_never_exceed_the_difference(a, b, both):
+    rng = np.random.default_rng(a * 7 + b)
+    x = rng.integers(0, 1 << 63, a + both, dtype=np.uint64)
+    y = np.r_[x[a:], rng.integers(0, 1 << 63, b, dtype=np.uint64)]
+    sketches = [partenum_join.parity_sketch(s) for s in (x, y)]
+    width = min(map(len, sketches)) // 8
+    m = [partenum_join._words([s], width) for s in sketches]
+    assert np.bitwise_count(m[0] ^ m[1]).sum() <= len(np.setxor1d(x, y))
+
+
 def test_bands_share_a_signature():
     rng = np.random.default_rng(4)
     for num in (80, 90):
