@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Rows in an Arrow batch handed to Python.  Texts average a few KB, so a batch stays at a few MB.
@@ -36,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: the lineage ends there, lost executors or not."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -59,6 +60,28 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark's parser takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no other column has it, whatever the case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def with_results(docs: DataFrame, kept: list[str], results: str) -> T.StructType:
+    """Schema of the kept columns and the results (a DDL string), whose names must differ."""
+    made = T.StructType.fromDDL(results)
+    clash = {c.lower() for c in kept} & {f.name.lower() for f in made}
+    if clash:
+        raise ValueError(f"kept columns have the names of results: {sorted(clash)}; give other names")
+    return T.StructType([docs.schema[c] for c in kept] + made.fields)
+
+
 def fold_of(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
@@ -83,8 +106,8 @@ def labelled_sample(df: DataFrame, label: str, cap: int, seed: str) -> DataFrame
 # ---------------------------------------------------------------- flat text batches
 
 
-def utf8_parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of a string column, in parts of about CHUNK_BYTES; nulls are empty."""
+def utf8_parts(col: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of a string column, in parts of about size bytes; nulls are empty."""
     col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
     n = len(col)
     if n == 0:
@@ -94,7 +117,7 @@ def utf8_parts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = int(np.searchsorted(off, off[at] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(off, off[at] + size, side="right")) - 1
         end = min(n, max(at + 1, end))
         yield at, end, raw[off[at] : off[end]], off[at : end + 1] - off[at]
         at = end
@@ -169,30 +192,40 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 # ---------------------------------------------------------------- connected components
 
 
+#: Up to so many edges (16 bytes each) a step of components() is one plan; beyond, minima are written before they are joined.
+PLAIN_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.  edges: (a, b) longs.  Returns (node,
-    component_id), component_id the smallest node that links reach; nodes without an edge do not appear.  Each step is
+    component_id), component_id the smallest node that links reach; nodes without an edge do not appear.  Each round is
     written to the shared folder and superseded tables are deleted; the number of rounds grows with the logarithm of the
-    longest path.  Minima are written before they are joined back, so both sides of each join are plain scans, and adaptive
-    execution may split the rows of a node of many edges among tasks."""
+    longest path.  Beyond PLAIN_EDGES minima are written before they are joined back, so both sides of each join are plain
+    scans, and adaptive execution may split the rows of a node of many edges among tasks."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e")
     before = None
     while True:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before, old = now, [e]
+
+        def kept(df: DataFrame, part: str, edges: int = now[0], old: list = old) -> DataFrame:
+            if edges <= PLAIN_EDGES:
+                return df
+            old.append(written(df, f"{name}-{part}"))
+            return old[-1]
+
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
+        low = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), f"{name}-large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+        large = kept(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         # small star: u and its smaller neighbours go to the smallest of them
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e")
-        for old in (e, low, large, least):
-            discard(old)
-        e = after
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e")
+        for df in old:
+            discard(df)
     return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "node").union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
     )

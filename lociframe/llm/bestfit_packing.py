@@ -19,7 +19,6 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,10 @@ CAPACITY = 2048
 #: Chunks whose ids a worker keeps in each of two generations, about 150 bytes each.
 MEMO_CHUNKS = 500_000
 _MARKS = ".,!?;:#$%&*\"()-|"
+#: ASCII white space, which no token spans; other white space is left to the tokenizer.
+_BLANKS = " \t\n\v\f\r"
+#: Bytes of text that are taken apart together: the more, the fewer look-ups of the same word.
+PART_BYTES = 4 << 20
 
 
 class WordTokens:
@@ -99,30 +102,36 @@ class WordTokens:
         for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             raw[c] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_chunks(t) if t else [] for t in texts]
-        seen = set(chain.from_iterable(split))
+    def ids(self, raw: np.ndarray, offsets: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the UTF-8 texts raw[offsets[i]:offsets[i+1]], each with an end id, in one array, and where each text ends.
+        Arrow gives words (with the white space behind them) numbers; only distinct words are looked up one by one."""
+        starts, _, owner = _shared.word_spans(raw, offsets)
+        docs = len(offsets) - 1
+        if not len(starts):
+            return np.full(docs, end_id, dtype="<u4"), np.arange(1, docs + 1)
+        edges = np.r_[starts, len(raw)] - starts[0]
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[starts[0] :])))
+        coded = words.dictionary_encode()
+        number = coded.indices.to_numpy()
+        distinct = [w.rstrip(_BLANKS) for w in coded.dictionary.to_pylist()]
+        seen = set(distinct)
         new = seen.difference(self.raw)
         if new:
             self._learn(seen if len(self.raw) + len(new) > MEMO_CHUNKS else new)
-        look = self.raw.__getitem__
-        for cs in split:
-            yield b"".join(map(look, cs))
-
-
-def _chunks(t: str) -> list[str]:
-    if t.isascii() and not _odd_blanks(t):
-        return t.split()
-    for blank in "\t\n\v\f\r":
-        if blank in t:
-            t = t.replace(blank, " ")
-    return t.split(" ")
-
-
-def _odd_blanks(t: str) -> bool:
-    """Whether an ASCII text holds separators that split() takes for white space and the tokenizer does not."""
-    return "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t
+        found = list(map(self.raw.__getitem__, distinct))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, first = np.frombuffer(b"".join(found), dtype="<u4"), np.r_[0, np.cumsum(size)[:-1]]
+        each = size[number]
+        ends = np.cumsum(each)
+        # each word's ids begin behind those of all words before it and the end ids of all texts before its own
+        by_text = np.searchsorted(owner, np.arange(docs + 1))
+        text_ends = np.r_[0, ends][by_text[1:]] + np.arange(1, docs + 1)
+        out = np.full(int(text_ends[-1]), end_id, dtype="<u4")
+        take = np.arange(int(ends[-1])) + np.repeat(first[number] - (ends - each), each)
+        inside = np.ones(len(out), dtype=bool)
+        inside[text_ends - 1] = False
+        out[inside] = pool[take]
+        return out, text_ends
 
 
 @lru_cache(maxsize=2)
@@ -266,28 +275,27 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the task and rank (among its pieces of that length) in
     which it was cut."""
     _shared.prepare(docs.sparkSession)
-    width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task = word_tokens(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 250):
-                part = batch.slice(first, 250)
-                of, piece, start, length, crc, rank = [], [], [], [], [], []
-                for row, ids in enumerate(words.ids(part.column(1).to_pylist())):
-                    ids += b"\0\0\0\0"
-                    for k, at in enumerate(range(0, len(ids), width)):
-                        cut = ids[at : at + width]
-                        n = len(cut) // 4
-                        of.append(row)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(n)
-                        crc.append(zlib.crc32(cut))
-                        rank.append(seen[n])
-                        seen[n] += 1
-                cols = [part.column(0).take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(of), pa.int32()), pa.array(rank, pa.int64())]
+            for a, b, raw, off in _shared.utf8_parts(batch.column(1), PART_BYTES):
+                ids, ends = words.ids(raw, off)
+                begins = np.r_[0, ends[:-1]]
+                pieces = -(-(ends - begins) // capacity)
+                of = np.repeat(np.arange(b - a), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, (ends - begins)[of] - start)
+                at, data = (begins[of] + start) * 4, memoryview(ids).cast("B")
+                crc = np.fromiter((zlib.crc32(data[x:y]) for x, y in zip(at.tolist(), (at + length * 4).tolist(), strict=True)), np.int64, len(of))
+                order = np.argsort(length, kind="stable")
+                same = length[order]
+                rank = np.empty(len(of), dtype=np.int64)
+                rank[order] = np.arange(len(of)) - np.searchsorted(same, same) + seen[same]
+                seen += np.bincount(length, minlength=capacity + 1)
+                cols = [batch.column(0).slice(a, b - a).take(pa.array(of)), pa.array(piece.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (start, length, crc)), pa.array(np.full(len(of), task, dtype=np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     kind = docs.schema[id_col].dataType.simpleString()

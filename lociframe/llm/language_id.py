@@ -194,15 +194,16 @@ def fit_language(docs: DataFrame, may_learn=None, id_col: str = "doc_id", text_c
     return train(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred, score and accepted to the columns keep (the id alone if not given).  One narrow pass; the model is a
-    fixed-size broadcast."""
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """Adds lang_pred, score and accepted, under these or other names, to the columns keep (the id alone if not given).  One
+    narrow pass; the model is a fixed-size broadcast.  Names that kept columns have raise a ValueError."""
     spark = docs.sparkSession
     _shared.prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     kept = list(keep or [id_col])
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double", "accepted boolean"])
+    schema = _shared.with_results(docs, kept, "{} string, {} double, {} boolean".format(*map(_shared.quoted, names)))
+    text = F.col(_shared.quoted(text_col)).cast("string").alias(_shared.unused("text", kept))
+    rows = docs.select(*[F.col(_shared.quoted(c)) for c in kept], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -216,6 +217,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 oks.append(got[2])
             cols = [batch.column(i) for i in range(len(kept))]
             cols += [pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, []])), pa.array(np.concatenate([*oks, []]).astype(bool))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *names])
 
     return rows.mapInArrow(run, schema)

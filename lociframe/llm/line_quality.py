@@ -240,19 +240,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
     return train(got.column("text").to_pylist(), got.column("quality").to_pylist())
 
 
-def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score to the columns keep (the id alone if not given), in one narrow pass."""
+def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Adds score, under this or another name, to the columns keep (the id alone if not given), in one narrow pass.  A name
+    that a kept column has raises a ValueError."""
     spark = docs.sparkSession
     _shared.prepare(spark)
     sent = spark.sparkContext.broadcast(field)
     kept = list(keep or [id_col])
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["score double"])
+    schema = _shared.with_results(docs, kept, f"{_shared.quoted(name)} double")
+    text = F.col(_shared.quoted(text_col)).cast("string").alias(_shared.unused("text", kept))
+    rows = docs.select(*[F.col(_shared.quoted(c)) for c in kept], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
         for batch in batches:
             got = [f.scores(raw, off) for _, _, raw, off in _shared.utf8_parts(batch.column(len(kept)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(np.concatenate([*got, []]))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(np.concatenate([*got, []]))], names=[*kept, name])
 
     return rows.mapInArrow(run, schema)

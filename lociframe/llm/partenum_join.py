@@ -491,7 +491,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     if unsettled.head(1):
         more = _settle(join, unsettled, sketches)
         if more.head(1):
-            comps = join.written(_shared.components(links.union(more), "partenum"), "components")
+            comps = join.written(_shared.components(comps.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more), "partenum"), "components")
     moved = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"), "members", "rep")
     moved = _shared.written(moved.filter("members > 1 OR component_id <> rep").drop("members", "rep"), "partenum-classes")
     for made in join.made:

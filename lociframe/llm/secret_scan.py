@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -47,6 +49,8 @@ TWO_CASES = [[0.87, 0.05, 0.04, 0.04], [0.5, 0.38, 0.06, 0.06], [0.1, 0.08, 0.66
 FIRST = [0.5, 0.25, 0.15, 0.1]
 
 SPAN = "struct<start:int,end:int,kind:int>"
+#: Matches that are placed together.
+RUN_OF = 256
 
 
 def _found(text: Column, pattern: str, kind: int, least: int, group: int) -> Column:
@@ -56,7 +60,7 @@ def _found(text: Column, pattern: str, kind: int, least: int, group: int) -> Col
     gaps, hits = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     parts = F.regexp_extract_all(text, F.lit(whole), F.lit(group)) if group != 2 else hits
     rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), parts.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.length(x["gap"])
@@ -65,7 +69,18 @@ def _found(text: Column, pattern: str, kind: int, least: int, group: int) -> Col
         keep = F.when(F.length(x["part"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(b.alias("at"), keep.alias("spans"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+    # runs of RUN_OF matches, each from 0 on, and then moved to their places: appending copies no more than RUN_OF spans
+    def placed(rows: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN_OF).cast("int")), lambda i: F.aggregate(F.slice(rows, i * RUN_OF + 1, F.lit(RUN_OF)), zero, step))
+        return _let(runs, moved)
+
+    def moved(runs: Column) -> Column:
+        offsets = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+        shift = lambda r, by: F.transform(r["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["kind"].alias("kind")))
+        return F.flatten(F.zip_with(runs, F.slice(offsets, F.lit(1), F.size(runs)), shift))
+
+    return _let(rows, lambda r: F.when(F.size(r) > 0, placed(r)).otherwise(none))
 
 
 def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -165,12 +180,14 @@ def _tests(e: Column, x: Column) -> Column:
     return F.struct(e["encoding"].alias("encoding"), _two_sided(F.greatest(z_uniform, F.lit(0.0))).alias("p_uniform"), _two_sided(z_runs).alias("p_runs"), _two_sided(z_serial).alias("p_serial"), p_text.alias("p_text"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds found, an array of (start, end, kind number) in order of start and kind, to the columns keep (the id alone if not
-    given).  Narrow: nothing is shuffled."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "found") -> DataFrame:
+    """Adds found, an array of (start, kind number, end) in that order, under this or another name, to the columns keep (the
+    id alone if not given).  Kept columns travel as one struct, so none of their names can clash with the scan's own; one
+    that has the result's name raises a ValueError.  Narrow: nothing is shuffled."""
     kept = list(keep or [id_col])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__text"))
+    _shared.with_results(docs, kept, f"{_shared.quoted(name)} int")
+    text = F.coalesce(F.col(_shared.quoted(text_col)).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(_shared.quoted(c)) for c in kept]).alias("__kept"), text.alias("__text"))
     none = F.array().cast(f"array<{SPAN}>")
     t = F.col("__text")
     seen = lambda quick, pattern, kind, least, group: F.when(t.rlike(quick), _found(t, pattern, kind, least, group)).otherwise(none)
@@ -199,13 +216,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     random = F.transform(F.filter("__tested", lambda r: random_enough(r) & (r["t"]["p_text"] <= F.col("__cut"))), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
     found = F.concat("__base", F.coalesce(random, none))
     by_place = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    rows = _once(rows, {"found": F.sort_array(by_place)})
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "found")
+    rows = _once(rows, {"__found": F.sort_array(by_place)})
+    return rows.select("__kept.*", F.col("__found").alias(name))
 
 
-def masked(found: DataFrame, text_col: str, mark: str) -> DataFrame:
-    """Replaces the spans in found by a mark; spans that overlap get one mark together."""
-    text = F.col(text_col)
+def masked(found: DataFrame, text_col: str, mark: str, name: str = "found") -> DataFrame:
+    """Replaces the spans in the column name by a mark; spans that overlap get one mark together."""
+    text, spans = F.col(_shared.quoted(text_col)), F.col(_shared.quoted(name))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -213,8 +230,8 @@ def masked(found: DataFrame, text_col: str, mark: str) -> DataFrame:
         fresh = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, whole).otherwise(text))
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text))
 
 
 def _joined(spans: Column) -> Column:
