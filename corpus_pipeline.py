@@ -26,30 +26,36 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown: without a letter, or below the calibrated threshold."""
     model = language_id.fit_language(docs)
-    return language_id.identify(docs, model, keep=docs.columns).filter("accepted").select(*docs.columns)
+    names = tuple(_shared.unused(n, docs.columns) for n in ("lang_pred", "score", "accepted"))
+    found = language_id.identify(docs, model, keep=docs.columns, names=names)
+    return found.filter(F.col(names[2])).drop(*names)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose lines are mostly bad."""
     field = line_quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return line_quality.score_quality(docs, field, keep=docs.columns).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    name = _shared.unused("score", docs.columns)
+    return line_quality.score_quality(docs, field, keep=docs.columns, name=name).filter(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays (one row of it, where rows repeat an id)."""
-    groups = _shared.written(partenum_join.jaccard_components(docs, WORDS, SIMILAR, 100), "pipeline-groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    if groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        docs = docs.filter("doc_id IS NULL").unionByName(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document of the smallest id stays.  Where ids are null or repeated, rows are
+    numbered, and the first row stays: only rows that are near duplicates of another go."""
+    key = "doc_id"
+    if docs.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).head(1):
+        key = _shared.unused("row", docs.columns)
+        docs = _shared.written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = partenum_join.jaccard_components(docs, WORDS, SIMILAR, 100, id_col=key)
+    gone = _shared.written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)), "pipeline-gone")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(*map(_shared.quoted, docs.columns))
+    return left if key == "doc_id" else left.drop(key)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by MARK; all documents stay."""
-    found = secret_scan.scan_secrets(docs, keep=docs.columns)
-    rows = secret_scan.masked(found, "text", MARK)
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    name = _shared.unused("found", docs.columns)
+    rows = secret_scan.masked(secret_scan.scan_secrets(docs, keep=docs.columns, name=name), "text", MARK, name).drop(name)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
