@@ -237,3 +237,23 @@ def parse_attr(s, key: str | None = None) -> Column:
 def parse_qual(q) -> Column:
     """Phred scores of a quality string."""
     return F.transform(F.filter(F.split(as_col(q), ""), lambda c: c != ""), lambda c: (F.ascii(c) - 33).cast("long"))
+
+
+json_parse = parse_json
+
+
+def json_pretty(s) -> Column:
+    """A JSON text with line breaks and indents; null if it is none."""
+    return F.to_json(F.try_parse_json(as_col(s)), {"pretty": "true"})
+
+
+def parse_vcf_info(s) -> Column:
+    """The map of an INFO text to lists of values; a dot alone gives an empty map."""
+    return F.transform_values(parse_info(s), lambda _, v: F.split(v, ","))
+
+
+def take_while(items, test) -> Column:
+    """The items before the first that does not meet the test."""
+    items = as_col(items)
+    stop = F.array_position(F.transform(items, lambda x: F.coalesce(test(x), F.lit(False))), False)
+    return F.when(stop > 0, F.slice(items, F.lit(1), (stop - 1).cast("int"))).otherwise(items)

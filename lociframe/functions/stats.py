@@ -234,9 +234,33 @@ def hist(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str) -> DataFrame:
-    """time, at_risk, survival at each time of an event.  Windows run over distinct times."""
+    """time, at_risk, survival at each time of an event.  Running sums over distinct times, by range partitions."""
+    from ..operators.tables import around
+
     at = df.groupBy(F.col(time).alias("time")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
-    later = Window.orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    upto = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    risk = at.withColumn("at_risk", F.sum("n").over(later)).filter("d > 0")
-    return risk.select("time", "at_risk", F.exp(F.sum(F.when(F.col("d") < F.col("at_risk"), F.log1p(-F.col("d") / F.col("at_risk"))).otherwise(F.lit(-1e9))).over(upto)).alias("survival"))
+    risk = around(at, None, ["time"], after={"at_risk": (F.sum, "n", True)}).filter("d > 0")
+    risk = risk.withColumn("__s", F.when(F.col("d") < F.col("at_risk"), F.log1p(-F.col("d") / F.col("at_risk"))).otherwise(F.lit(-1e9)))
+    return around(risk, None, ["time"], before={"__l": (F.sum, "__s", True)}).select("time", "at_risk", F.exp("__l").alias("survival"))
+
+
+def rbinom(size: int, p: float, seed: int) -> Column:
+    """A binomial number for each row: successes of size draws that a seed fixes (for rows in a fixed order)."""
+    share = lambda seed, i: F.pmod(F.xxhash64(seed, i), F.lit(1 << 40)) / float(1 << 40)
+    return _once(F.rand(seed), lambda x: F.array_size(F.filter(F.sequence(F.lit(1), F.lit(size)), lambda i: share(x, i) < p)).cast("long"))
+
+
+def _once(draw: Column, fn) -> Column:
+    """fn of a number that is drawn once for each row."""
+    return F.get(F.transform(F.array(draw), fn), F.lit(0))
+
+
+def rpois(rate: float, seed: int) -> Column:
+    """A Poisson number for each row, by the inverse of its distribution; rates up to 500."""
+    if not 0 < rate <= 500:
+        raise ValueError("the rate must be above 0 and at most 500")
+    top, p, below, bounds = int(rate + 20 * math.sqrt(rate) + 20), math.exp(-rate), 0.0, []
+    for k in range(top):
+        below += p
+        bounds.append(below)
+        p *= rate / (k + 1)
+    return _once(F.rand(seed), lambda x: F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < x)).cast("long"))

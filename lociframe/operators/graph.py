@@ -52,6 +52,11 @@ class Graph:
     def has_edge(self, a, b) -> bool:
         return bool(self._both().filter((F.col("a") == a) & (F.col("b") == b)).limit(1).count())
 
+    def node_attr(self, node, name: str):
+        """An attribute of a node: a column of nodes; None without the node."""
+        row = self.nodes.filter(F.col("id") == node).select(name).first()
+        return row[0] if row else None
+
     def subgraph(self, ids: DataFrame) -> Graph:
         e = self.edges.join(ids.select(F.col("id").alias("from")), "from", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi")
         return Graph(self.nodes.join(ids, "id", "left_semi"), e.select("from", "to", "weight"), self.directed)

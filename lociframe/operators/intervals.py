@@ -6,9 +6,11 @@ later one begins, once; the join is an equi join on (chrom, bin) and a filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import around
+
 BIN = 1 << 14
 
 
@@ -68,37 +70,64 @@ def query_nearest(t: DataFrame, chrom: str, pos: int, k: int = 1) -> DataFrame:
 
 def closest(a: DataFrame, b: DataFrame) -> DataFrame:
     """a with the least distance between the whole midpoints of its row and any of b (null if its chromosome is not in b).
-    Points of both sides are sorted together; the last point of b before and after each of a is found by a running max."""
+    Rows of a and points of b are sorted together by range, and the last point of b before and the first after each row come
+    from running aggregates with carried edges, so a chromosome may span many tasks."""
     mid = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
-    rows = _with_id(a).withColumn("__m", mid)
-    points = rows.select("chrom", "__m").distinct().select("chrom", F.col("__m").alias("m"), F.lit(None).cast("long").alias("b"))
-    others = b.select("chrom", mid.alias("m")).distinct().select("chrom", "m", F.col("m").alias("b"))
-    both = points.unionByName(others)
-    up = Window.partitionBy("chrom").orderBy("m").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy("chrom").orderBy("m").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    near = both.withColumn("lo", F.max("b").over(up)).withColumn("hi", F.min("b").over(down)).filter("b IS NULL")
-    near = near.select(F.col("chrom"), F.col("m").alias("__m"), F.least(F.col("m") - F.col("lo"), F.col("hi") - F.col("m")).alias("distance"))
-    return rows.join(near, ["chrom", "__m"], "left").drop("__m", "__row")
+    rows = a.withColumns({"__m": mid, "__b": F.lit(None).cast("long"), "__s": F.lit(1)})
+    points = b.select("chrom", mid.alias("__m")).distinct().withColumns({"__b": F.col("__m"), "__s": F.lit(0)})
+    both = rows.unionByName(points, allowMissingColumns=True)
+    near = around(both, "chrom", ["__m", "__s"], before={"__lo": (F.max, "__b", True)}, after={"__hi": (F.min, "__b", True)}).filter("__s = 1")
+    return near.withColumn("distance", F.least(F.col("__m") - F.col("__lo"), F.col("__hi") - F.col("__m"))).select(*a.columns, "distance")
 
 
 def merge_intervals(t: DataFrame) -> DataFrame:
     """Overlapping and touching intervals become one."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = t.select("chrom", "start", "end").withColumn("new", F.when(F.col("start") > reach, 1).when(reach.isNull(), 1).otherwise(0))
-    grouped = fresh.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("chrom", "g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("g")
+    reached = around(t.select("chrom", "start", "end"), "chrom", ["start", "end"], before={"__reach": (F.max, "end", False)})
+    fresh = reached.withColumn("__new", F.when(F.col("start") <= F.col("__reach"), 0).otherwise(1)).drop("__reach")
+    grouped = around(fresh, "chrom", ["start", "end", "-__new"], before={"__g": (F.sum, "__new", True)})
+    return grouped.groupBy("chrom", "__g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
 
 
 def coverage(t: DataFrame) -> DataFrame:
     """Segments of like depth: chrom, start, end, depth (above 0)."""
     steps = t.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     steps = steps.groupBy("chrom", F.col("e.pos").alias("start")).agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy("chrom").orderBy("start")
-    out = steps.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("start").over(w))
+    out = around(steps, "chrom", ["start"], before={"depth": (F.sum, "d", True)}, after={"end": (F.min, "start", False)})
     return out.filter("depth > 0").select("chrom", "start", "end", F.col("depth").cast("long").alias("depth"))
 
 
+def interval_tree(t: DataFrame, width: int = BIN) -> DataFrame:
+    """t with its bins, one row for each bin that an interval touches: what lookups join by (chrom, bin)."""
+    return t.withColumn("bin", F.explode(_bins(F.col("start"), F.col("end"), width)))
+
+
+def to_interval(t: DataFrame) -> DataFrame:
+    """chrom (or seqid), start, end and strand (a dot where there is none) of each row."""
+    chrom = F.col("chrom") if "chrom" in t.columns else F.col("seqid")
+    strand = F.col("strand") if "strand" in t.columns else F.lit(".")
+    return t.select(chrom.alias("chrom"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), strand.alias("strand"))
+
+
+#: The systems of coordinates that coord_convert knows.
+SYSTEMS = ("bed", "vcf", "gff", "sam")
+
+
+def _tagged(name: str):
+    def run(t: DataFrame) -> DataFrame:
+        return t.withColumn("coord_system", F.lit(name))
+
+    run.__doc__ = f"Marks the rows' coordinates as those of {name.upper()} files."
+    return run
+
+
+coord_bed, coord_vcf, coord_gff, coord_sam = map(_tagged, SYSTEMS)
+
+
+def coord_system(t: DataFrame) -> Column:
+    """The system that rows are marked with; null without a mark."""
+    return F.col("coord_system") if "coord_system" in t.columns else F.lit(None).cast("string")
+
+
 def flank(t: DataFrame, size: int) -> DataFrame:
     up = F.struct(F.greatest(F.col("start") - size, F.lit(0)).alias("start"), F.col("start").alias("end"), F.lit("up").alias("side"))
     down = F.struct(F.col("end").alias("start"), (F.col("end") + size).alias("end"), F.lit("down").alias("side"))

@@ -36,6 +36,16 @@ def dim(m: DataFrame) -> DataFrame:
     return m.agg((F.max("i") + 1).alias("rows"), (F.max("j") + 1).alias("cols"))
 
 
+def diag(spark, values: list[float]) -> DataFrame:
+    """A square matrix with these values on its diagonal, the rest zeros."""
+    return spark.range(len(values)).select(F.col("id").alias("i")).crossJoin(spark.range(len(values)).select(F.col("id").alias("j"))).select("i", "j", F.when(F.col("i") == F.col("j"), F.get(F.array(*map(F.lit, map(float, values))), F.col("i").cast("int"))).otherwise(0.0).alias("v"))
+
+
+def sparse_matrix(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
+    """The cells (i, j, v) that are not zero; values of the same place are added."""
+    return df.groupBy(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j")).agg(F.sum(F.col(value).cast("double")).alias("v")).filter("v <> 0")
+
+
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
@@ -148,10 +158,17 @@ def dist_matrix(m: DataFrame, method: str = "euclidean") -> DataFrame:
     return m.join(other, "j").filter("i < k").groupBy("i", "k").agg(agg.alias("v"))
 
 
+#: Cells of a matrix that the driver takes: 8 bytes each in numpy, about 100 while they come.
+DRIVER_CELLS = 4_000_000
+
+
 def to_numpy(m: DataFrame):
-    """A small matrix on the driver."""
+    """A small matrix on the driver; one of more than DRIVER_CELLS cells is refused."""
     import numpy as np
 
+    cells = m.agg((F.max("i") + 1).cast("long") * (F.max("j") + 1)).first()[0] or 0
+    if cells > DRIVER_CELLS:
+        raise ValueError(f"{cells} cells are too many for the driver (at most {DRIVER_CELLS})")
     rows = m.collect()
     out = np.zeros((max(r.i for r in rows) + 1, max(r.j for r in rows) + 1))
     for r in rows:
@@ -200,3 +217,25 @@ def pca(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     fit = PCA(k=k, inputCol="__x", outputCol="components")
     x = VectorAssembler(inputCols=cols, outputCol="__x").transform(centred)
     return fit.fit(x).transform(x).drop("__x")
+
+
+def neighbor_joining(m: DataFrame, names: list[str]) -> str:
+    """The neighbour-joining tree of a symmetric matrix of distances, in Newick's form; the matrix goes to the driver."""
+    import numpy as np
+
+    d = to_numpy(m)
+    nodes = list(names)
+    while len(nodes) > 2:
+        n, total = len(nodes), d.sum(axis=1)
+        q = (n - 2) * d - total[:, None] - total[None, :]
+        np.fill_diagonal(q, np.inf)
+        i, j = sorted(divmod(int(np.argmin(q)), n))
+        a = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
+        joined = f"({nodes[i]}:{a:.6g},{nodes[j]}:{d[i, j] - a:.6g})"
+        row = (d[i] + d[j] - d[i, j]) / 2
+        left = [k for k in range(n) if k not in (i, j)]
+        d = np.block([[d[np.ix_(left, left)], row[left][:, None]], [row[left][None, :], np.zeros((1, 1))]])
+        nodes = [nodes[k] for k in left] + [joined]
+    if len(nodes) == 2:
+        return f"({nodes[0]}:{d[0, 1]:.6g},{nodes[1]}:0);"
+    return f"{nodes[0]};" if nodes else ";"

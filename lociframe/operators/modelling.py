@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as st
-from .tables import ordinal
+from .tables import around, ordinal
 
 
 def wilcoxon(df: DataFrame, group: str, x: str) -> dict[str, float]:
@@ -26,8 +26,8 @@ def ks_test(df: DataFrame, group: str, x: str) -> dict[str, float]:
     first = df.agg(F.min(group)).first()[0]
     at = df.groupBy(x).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) != first).alias("b"))
     n1, n2 = at.agg(F.sum("a"), F.sum("b")).first()
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    d = at.select(F.abs(F.sum("a").over(w) / n1 - F.sum("b").over(w) / n2).alias("d")).agg(F.max("d")).first()[0]
+    run = around(at, None, [x], before={"__a": (F.sum, "a", True), "__b": (F.sum, "b", True)})
+    d = run.agg(F.max(F.abs(F.col("__a") / n1 - F.col("__b") / n2))).first()[0]
     t = d * math.sqrt(n1 * n2 / (n1 + n2))
     p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)) if t > 0.2 else 1.0
     return {"d_statistic": d, "p_value": min(1.0, max(0.0, p))}
@@ -150,9 +150,9 @@ def glm(df: DataFrame, y: str, xs: list[str], family: str = "binomial", rounds:
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(fpr, tpr) at each distinct score, from the highest."""
     at = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     total = at.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    return at.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w)}).crossJoin(F.broadcast(total)).select("score", (F.col("cn") / F.col("tn")).alias("fpr"), (F.col("cp") / F.col("tp")).alias("tpr"))
+    run = around(at, None, ["-score"], before={"cp": (F.sum, "p", True), "cn": (F.sum, "n", True)})
+    return run.crossJoin(F.broadcast(total)).select("score", (F.col("cn") / F.col("tn")).alias("fpr"), (F.col("cp") / F.col("tp")).alias("tpr"))
 
 
 def manhattan_points(df: DataFrame, chrom: str, pos: str, p: str) -> DataFrame:
@@ -164,3 +164,57 @@ def qq_points(df: DataFrame, p: str) -> DataFrame:
     """(expected, observed) of sorted p-values, as -log10."""
     n = df.count()
     return ordinal(df.select(F.col(p).alias("p")), "p", "r").select((-F.log10((F.col("r") - 0.5) / n)).alias("expected"), (-F.log10("p")).alias("observed"))
+
+
+def cox_ph(df: DataFrame, time: str, event: str, x: str, rounds: int = 25) -> dict[str, float]:
+    """Proportional hazards for one covariate, ties after Breslow: Newton steps on sums over the risk set at each time."""
+    center = df.agg(F.avg(x)).first()[0]
+    rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("int").alias("e"), (F.col(x) - center).cast("double").alias("x")).na.drop()
+    beta, info = 0.0, 0.0
+    for _ in range(rounds):
+        w = F.exp(F.col("x") * beta)
+        at = rows.groupBy("t").agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") ** 2).alias("wxx"), F.sum("e").alias("d"), F.sum(F.col("e") * F.col("x")).alias("dx"))
+        risk = around(at, None, ["t"], after={n: (F.sum, c, True) for n, c in (("s0", "w"), ("s1", "wx"), ("s2", "wxx"))}).filter("d > 0")
+        mean = F.col("s1") / F.col("s0")
+        score, info = risk.agg(F.sum(F.col("dx") - F.col("d") * mean), F.sum(F.col("d") * (F.col("s2") / F.col("s0") - mean * mean))).first()
+        if not info:
+            break
+        beta += score / info
+        if abs(score / info) < 1e-10:
+            break
+    se = 1 / math.sqrt(info) if info else math.inf
+    return {"coef": beta, "hazard_ratio": math.exp(beta), "se": se, "z": beta / se, "p_value": math.erfc(abs(beta / se) / math.sqrt(2))}
+
+
+def gsea(ranked: DataFrame, gene_set: DataFrame, permutations: int = 100, seed: int = 1) -> dict[str, float]:
+    """gsea_score with a p-value: the share of random sets of the same size (drawn by hashes of the genes) whose score goes
+    as far to the same side."""
+    score = gsea_score(ranked, gene_set).first()[0]
+    size, beyond, same = gene_set.distinct().count(), 0, 0
+    for i in range(permutations):
+        drawn = ranked.select("gene").orderBy(F.xxhash64(F.lit(seed * 1_000_003 + i), F.col("gene").cast("string")), "gene").limit(size)
+        other = gsea_score(ranked, drawn).first()[0]
+        same += other * score > 0
+        beyond += other * score > 0 and abs(other) >= abs(score)
+    return {"score": score, "p_value": (beyond + 1) / (same + 1)}
+
+
+def go_enrichment(genes: DataFrame, terms: DataFrame, background: int) -> DataFrame:
+    """enrich over ontology terms (term, gene), one row a pair: the terms' sets are gathered first."""
+    sets = terms.groupBy(F.col("term").alias("name")).agg(F.collect_set("gene").alias("genes"))
+    return enrich(genes, sets, background)
+
+
+def ode_solve(fn, start: list[float], times: list[float]) -> list[list[float]]:
+    """Classical Runge-Kutta steps between the times; fn(t, y) gives the slopes."""
+    out, y = [list(start)], list(start)
+    for t, after in zip(times, times[1:], strict=False):
+        h = after - t
+        step = lambda k, part: [a + part * h * b for a, b in zip(y, k, strict=True)]  # noqa: B023, E731
+        k1 = fn(t, y)
+        k2 = fn(t + h / 2, step(k1, 0.5))
+        k3 = fn(t + h / 2, step(k2, 0.5))
+        k4 = fn(after, step(k3, 1.0))
+        y = [a + h / 6 * (p + 2 * q + 2 * r + s) for a, p, q, r, s in zip(y, k1, k2, k3, k4, strict=True)]
+        out.append(y)
+    return out

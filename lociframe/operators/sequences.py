@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
 from ..functions import variants as var
+from .tables import around
 
 
 def exploded_kmers(df: DataFrame, col: str, k: int, canonical: bool = True) -> DataFrame:
@@ -37,12 +38,12 @@ def de_bruijn_edges(df: DataFrame, col: str, k: int) -> DataFrame:
 
 def sequence_stats(df: DataFrame, col: str = "seq") -> DataFrame:
     """count, total, mean, median, min, max, gc, n50: the length at which the longer sequences hold half of all bases.
-    Lengths are counted first, so the window runs over distinct lengths."""
+    Lengths are counted first, so the running sum goes over distinct lengths."""
     n = F.char_length(col).cast("long")
     lengths = df.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     total = lengths.agg(F.sum(F.col("n") * F.col("c")).alias("all"))
-    n50 = lengths.withColumn("run", F.sum(F.col("n") * F.col("c")).over(w)).crossJoin(F.broadcast(total)).filter("2 * run >= all").agg(F.max("n").alias("n50"))
+    run = around(lengths.withColumn("bases", F.col("n") * F.col("c")), None, ["-n"], before={"run": (F.sum, "bases", True)})
+    n50 = run.crossJoin(F.broadcast(total)).filter("2 * run >= all").agg(F.max("n").alias("n50"))
     gc = F.sum(n - F.char_length(F.translate(F.col(col), "GCgc", ""))) / F.sum(n)
     stats = df.agg(F.count(F.lit(1)).alias("count"), F.sum(n).alias("total"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.min(n).alias("min"), F.max(n).alias("max"), gc.alias("gc"))
     return stats.crossJoin(F.broadcast(n50))

@@ -30,6 +30,41 @@ def to_records(df: DataFrame):
     return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
+from_table = to_records
+
+
+def col_values(df: DataFrame, name: str) -> DataFrame:
+    """One column; an error if it is not there."""
+    if name not in df.columns:
+        raise ValueError(f"no column {name}")
+    return df.select(name)
+
+
+col = col_values
+
+
+def table_col_types(df: DataFrame) -> dict[str, str]:
+    return dict(df.dtypes)
+
+
+def col_width(df: DataFrame, width: int, rows: int = 20) -> str:
+    """The first rows as text, values cut to a width."""
+    return df._show_string(rows, width, False)
+
+
+def next_(rows):
+    """The next record of an iterator, or None at its end."""
+    return next(rows, None)
+
+
+def collect(df: DataFrame, most: int = 1_000_000) -> list[dict]:
+    """All records as a list; refuses tables of more than so many rows, which belong into a sink."""
+    got = [r.asDict(recursive=True) for r in df.limit(most + 1).toLocalIterator()]
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows; write them, or read them by to_records")
+    return got
+
+
 def nrow(df: DataFrame) -> int:
     return df.count()
 
@@ -42,6 +77,9 @@ def colnames(df: DataFrame) -> list[str]:
     return df.columns
 
 
+ncols, columns = ncol, colnames
+
+
 def table_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, t) for n, t in df.dtypes], "name string, type string")
 
@@ -100,6 +138,39 @@ def drop_cols(df: DataFrame, *cols: str) -> DataFrame:
     return df.drop(*cols)
 
 
+def fill_null(df: DataFrame, value) -> DataFrame:
+    """value instead of null in every column whose type it has; numbers go into every numeric column."""
+    return df.fillna(value)
+
+
+def drop_null(df: DataFrame, col: str | None = None) -> DataFrame:
+    """Rows without a null, in one column or in any."""
+    return df.na.drop(subset=[col] if col else None)
+
+
+def take_while(df: DataFrame, order, test: Column) -> DataFrame:
+    """The rows, in order, before the first that does not meet the test (null does not meet it)."""
+    order = [order] if isinstance(order, str) else list(order)
+    failed = df.withColumn("__f", F.when(F.coalesce(test, F.lit(False)), 0).otherwise(1))
+    return around(failed, None, order, before={"__n": (F.sum, "__f", True)}).filter("__n = 0").drop("__f", "__n")
+
+
+def filter_pass(df: DataFrame, col: str = "filter") -> DataFrame:
+    """Variants that passed: PASS, a dot, or nothing."""
+    return df.filter(F.col(col).isin("PASS", ".", ""))
+
+
+def classify_variants(df: DataFrame, ref: str = "ref", alt: str = "alt", chrom: str = "chrom") -> DataFrame:
+    """(chrom, variant_type): SNP where both alleles are one letter, else INDEL."""
+    return df.select(F.col(chrom).alias("chrom"), F.when((F.length(ref) == 1) & (F.length(alt) == 1), "SNP").otherwise("INDEL").alias("variant_type"))
+
+
+def each(df: DataFrame, fn: Callable) -> DataFrame:
+    """Calls fn with each partition's rows, on the executors, and goes on with df."""
+    df.foreachPartition(fn)
+    return df
+
+
 def rename(df: DataFrame, old: str, new: str) -> DataFrame:
     if old not in df.columns:
         raise ValueError(f"no column {old}")
@@ -248,6 +319,36 @@ def group_stats(df: DataFrame, key, col: str, agg: str) -> DataFrame:
     return df.groupBy(key).agg(fn(col).alias("value"))
 
 
+def _of_column(fn: Callable, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    def run(df: DataFrame, col: str) -> DataFrame:
+        return df.agg(F.coalesce(fn(F.col(col).try_cast("double")), F.lit(float("nan"))).alias(name))
+
+    run.__name__ = f"col_{name}"
+    run.__doc__ = f"The {name} of a column's numbers; what is no number is passed over, and NaN stands for none at all."
+    return run
+
+
+col_mean, col_sum, col_min, col_max = _of_column(F.avg, "mean"), _of_column(F.sum, "sum"), _of_column(F.min, "min"), _of_column(F.max, "max")
+col_stdev = _of_column(F.stddev_samp, "stdev")
+min_, max_, len_ = col_min, col_max, nrow
+
+
+def scatter_by(df: DataFrame, key: Column, *aggs: Column) -> DataFrame:
+    """Groups by what an expression gives: its value and the aggregates (the count if none is given)."""
+    return df.groupBy(key.alias("key")).agg(*(aggs or [F.count(F.lit(1)).alias("count")]))
+
+
+def set_seed(n: int) -> Callable[[], Column]:
+    """A source of random columns that a seed fixes, for plans whose rows come in a fixed order."""
+    state = [n]
+
+    def draw() -> Column:
+        state[0] += 1
+        return F.rand(state[0])
+
+    return draw
+
+
 def summarize(df: DataFrame, keys, **exprs) -> DataFrame:
     """Grouped aggregates; columns sorted by name behind the keys."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -343,6 +444,38 @@ def _running(df: DataFrame, col: str, order, fn, combine: Callable, name: str) -
     return out.withColumn(name, both).drop("__p", "__before_v")
 
 
+def around(df: DataFrame, by: str | None, order: list, before: dict | None = None, after: dict | None = None) -> DataFrame:
+    """Running aggregates over all rows, or the rows of each value of by, in range partitions of the order.  before and after
+    map names to (aggregate, column, whether the row itself counts): over the rows up to it, or from it on.  Aggregates are
+    F.sum, F.max, F.min or F.count; of no rows they are null."""
+    group = ["__p"] + ([by] if by else [])
+    parts, keys = _parts(df, [*([by] if by else []), *order])
+    keys = keys[1:] if by else keys
+    wanted = {**{n: (x, True) for n, x in (before or {}).items()}, **{n: (x, False) for n, x in (after or {}).items()}}
+    totals = parts.groupBy(*group).agg(*[fn(col).alias(f"__t_{n}") for n, ((fn, col, _), _) in wanted.items()])
+    edge = {True: (Window.unboundedPreceding, -1), False: (1, Window.unboundedFollowing)}
+    whole = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("__p")
+    again = {F.count: F.sum}
+    carried = totals.select(F.col("__p").alias("__q"), *([F.col(by).alias("__by")] if by else []), *[again.get(fn, fn)(f"__t_{n}").over(whole.rowsBetween(*edge[up])).alias(f"__c_{n}") for n, ((fn, _, _), up) in wanted.items()])
+    local = Window.partitionBy(*group).orderBy(*keys)
+    # what follows is read as what precedes in the opposite order, so that no frame is worked out anew for each row
+    turned = Window.partitionBy(*group).orderBy(*[_turned(k) for k in ([o for o in order])])
+    for n, ((fn, col, own), up) in wanted.items():
+        parts = parts.withColumn(f"__l_{n}", fn(col).over((local if up else turned).rowsBetween(Window.unboundedPreceding, 0 if own else -1)))
+    met = F.col("__p") == F.col("__q")
+    out = parts.join(carried, met & F.col(by).eqNullSafe(F.col("__by")) if by else met, "left")
+    for n, ((fn, _, _), _) in wanted.items():
+        a, b = F.col(f"__l_{n}"), F.col(f"__c_{n}")
+        both = {F.max: F.greatest(a, b), F.min: F.least(a, b)}.get(fn, F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b))
+        out = out.withColumn(n, both)
+    return out.drop("__q", "__by", "__p", *[f"__{x}_{n}" for n in wanted for x in "lc"])
+
+
+def _turned(o) -> Column:
+    """The opposite of _asc."""
+    return F.asc_nulls_first(o[1:]) if o.startswith("-") else F.desc_nulls_last(o)
+
+
 def cumsum(df: DataFrame, col: str, order) -> DataFrame:
     return _running(df, col, order, F.sum, lambda a, b: (a + F.coalesce(b, F.lit(0))).cast("double"), f"{col}_cumsum")
 

@@ -336,8 +336,12 @@ SQL["pricing_summary"] = "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS
 
 
 def queries() -> dict[str, Query]:
+    from . import more  # noqa: F401  it registers its queries
+
     return {**QUERIES, **scalars.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return {**SQL, **scalars.oracle_sql()}

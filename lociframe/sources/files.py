@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import struct
+import subprocess
+import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +79,82 @@ def verify_checksum(spark: SparkSession, path: str, digest: str, kind: str = "sh
     return spark.read.format("binaryFile").load(path).select(fn("content")).first()[0] == digest.lower()
 
 
+def remove_dir(spark: SparkSession, path: str, recursive: bool = False) -> bool:
+    """Deletes a folder; one that holds something only if recursive."""
+    if not is_dir(spark, path):
+        raise ValueError(f"no folder {path}")
+    return remove(spark, path, recursive)
+
+
+def abs_path(spark: SparkSession, path: str) -> str:
+    """The path with its store, as Spark reads it."""
+    fs, p, _ = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def _fresh(spark: SparkSession, kind: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def temp_dir(spark: SparkSession) -> str:
+    """A new folder in the shared folder."""
+    path = _fresh(spark, "folder")
+    mkdir(spark, path)
+    return path
+
+
+def temp_file(spark: SparkSession) -> str:
+    """A new empty file in the shared folder."""
+    path = _fresh(spark, "file")
+    fs, p, _ = _fs(spark, path)
+    fs.create(p).close()
+    return path
+
+
+def _copied(spark: SparkSession, source: str, target: str, wrap) -> int:
+    """Copies bytes between stores through streams of the JVM; returns the size of the target."""
+    fs, p, jvm = _fs(spark, source)
+    to, q, _ = _fs(spark, target)
+    read, write = wrap(jvm, fs.open(p), to.create(q))
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, write, 1 << 16, True)
+    return file_size(spark, target)
+
+
+def gzip(spark: SparkSession, source: str, target: str) -> int:
+    return _copied(spark, source, target, lambda jvm, i, o: (i, jvm.java.util.zip.GZIPOutputStream(o)))
+
+
+def gunzip(spark: SparkSession, source: str, target: str) -> int:
+    """Reads all members of a gzip file, so blocked files as well."""
+    return _copied(spark, source, target, lambda jvm, i, o: (jvm.java.util.zip.GZIPInputStream(i), o))
+
+
+#: Bytes of text in a block of a blocked gzip file, and its fixed last block.
+BLOCK = 0xFF00
+BLOCK_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
+def bgzip(source: str, target: str) -> int:
+    """Writes a local file as blocked gzip: members of bounded size, each with its length in an extra field."""
+    with open(source, "rb") as f, open(target, "wb") as out:
+        while block := f.read(BLOCK):
+            deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = deflate.compress(block) + deflate.flush()
+            out.write(struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25))
+            out.write(body + struct.pack("<II", zlib.crc32(block), len(block)))
+        out.write(BLOCK_END)
+        return out.tell()
+
+
+def shell(command: str, timeout: float | None = None) -> dict:
+    """Runs a command on the driver: its output, errors and exit code."""
+    done = subprocess.run(command, shell=True, capture_output=True, text=True, timeout=timeout, check=False)
+    return {"stdout": done.stdout, "stderr": done.stderr, "exit_code": done.returncode}
+
+
 basename, dirname, path_join = posixpath.basename, posixpath.dirname, posixpath.join
 
 

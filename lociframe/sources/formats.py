@@ -72,6 +72,11 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(F.col(df.columns[0]).cast("string")).write.mode(mode).text(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text as a folder of one file."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_text(df: DataFrame, path: str) -> None:
     write_lines(df, path, "append")
 
@@ -244,3 +249,13 @@ def sql_tables(spark: SparkSession) -> DataFrame:
 def sql_schema(spark: SparkSession, table: str) -> DataFrame:
     fields = spark.table(table).schema
     return spark.createDataFrame([(i, f.name, f.dataType.simpleString(), not f.nullable) for i, f in enumerate(fields)], "cid int, name string, type string, notnull boolean")
+
+
+def sql_close(spark: SparkSession) -> None:
+    """Frees cached tables; a session has no handle to close."""
+    spark.catalog.clearCache()
+
+
+def is_db(x) -> bool:
+    """Whether x can be asked by sql()."""
+    return isinstance(x, SparkSession)
