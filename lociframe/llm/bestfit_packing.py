@@ -31,6 +31,8 @@ from . import _shared
 CAPACITY = 2048
 #: Chunks whose ids a worker keeps in each of two generations, about 150 bytes each.
 MEMO_CHUNKS = 500_000
+#: Letters below this code point are their own composed form and have plain lower case (or one that is no letter).
+_LATIN_END = "\u0250"
 _MARKS = ".,!?;:#$%&*\"()-|"
 #: ASCII white space, which no token spans; other white space is left to the tokenizer.
 _BLANKS = " \t\n\v\f\r"
@@ -68,7 +70,7 @@ class WordTokens:
                 first = end
 
     def _learn(self, chunks: set[str]) -> None:
-        """Fills the memo for chunks; a plain ASCII word and the marks around it are looked up apart, in lower case."""
+        """Fills the memo for chunks; a plain Latin word and the marks around it are looked up apart, in lower case."""
         if len(self.raw) > MEMO_CHUNKS:
             self.old, self.raw = self.raw, {"": b""}
         raw, old, core = self.raw, self.old, self.core
@@ -80,7 +82,7 @@ class WordTokens:
             if have is not None:
                 raw[c] = have
                 continue
-            if c.isascii():
+            if max(c) < _LATIN_END:
                 low = c.lower()
                 word = low if low.isalpha() else low.strip(_MARKS)
                 if word.isalpha():

@@ -373,7 +373,7 @@ class _Join:
         self.repeated = False
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.made.append(_shared.written(df, f"partenum-{name}"))
+        self.made.append(_shared.written(df, f"partenum-{name}", few=True))
         return self.made[-1]
 
     def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
@@ -493,7 +493,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         if more.head(1):
             comps = join.written(_shared.components(comps.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more), "partenum"), "components")
     moved = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"), "members", "rep")
-    moved = _shared.written(moved.filter("members > 1 OR component_id <> rep").drop("members", "rep"), "partenum-classes")
+    moved = _shared.written(moved.filter("members > 1 OR component_id <> rep").drop("members", "rep"), "partenum-classes", few=True)
     for made in join.made:
         _shared.discard(made)
     out = all_docs.join(moved, ["h1", "h2", "n"], "left")
