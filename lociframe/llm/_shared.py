@@ -100,10 +100,15 @@ def hash_share(id_col: str, seed: str) -> Column:
     return (F.shiftrightunsigned(mixed, 11)).cast("double") / F.lit(float(1 << 53))
 
 
+#: Rows of a sample of labelled documents, over all labels.
+SAMPLE_ROWS = 20_000
+
+
 def labelled_sample(df: DataFrame, label: str, cap: int, seed: str) -> DataFrame:
     """About cap rows for each value of label (all, where there are fewer), picked by a hash of doc_id.  Counts the labels
     first, without reading texts; then only the picked rows reach the driver."""
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    cap = min(cap, SAMPLE_ROWS / max(1, len(sizes)))
     share = F.lit(0.0)
     for value, n in sizes.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, cap / n))).otherwise(share)

@@ -24,6 +24,8 @@ BUCKET_BITS = 16
 DIMS = 16
 #: Bound of the training sample: about so many documents of each language.
 TRAIN_PER_LANG = 600
+#: Texts of more characters are not learned from, so that the sample is bounded in bytes as well.
+LONGEST_SAMPLE = 50_000
 EPOCHS = 4
 RATE = 0.5
 #: Share of confident, right validation texts that the threshold may reject.
@@ -187,7 +189,7 @@ def fit_language(docs: DataFrame, may_learn=None, id_col: str = "doc_id", text_c
     """Learns from a bounded sample of docs (about per_lang rows of each language, all where there are fewer) for which the
     condition may_learn holds and text and language are there."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
     if may_learn is not None:
         rows = rows.filter(may_learn)
     got = _shared.labelled_sample(rows, "lang", per_lang, "language").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])

@@ -5,7 +5,7 @@ it; the field labels every line good or bad.  Forward-backward gives each line's
 is their mean, weighted by line length, mapped to a probability by a logistic curve fitted on documents kept from training.
 Labels are per document, so in training every line carries its document's label.
 
-Empty and null texts are one empty line and get a score; very long texts are read whole; repeated rows are scored each for
+Empty and null texts are one empty line and get a score; very long texts are read whole, their lines in blocks; repeated rows are scored each for
 itself; without labels every score is 0.5.
 """
 
@@ -23,6 +23,11 @@ from . import _shared
 
 #: Bound of the training sample: about so many documents of each label.
 TRAIN_PER_LABEL = 1000
+#: Texts of more characters are not learned from, so that the sample is bounded in bytes as well.
+LONGEST_SAMPLE = 50_000
+#: Lines whose features are held at a time (about 600 bytes each), and chains that are taken run by run.
+BLOCK_LINES = 20_000
+LONG_CHAIN = 2_000
 STEPS = 150
 PENALTY = 1e-3
 LEAST_SCALE, FEATURE_BOUND = 0.02, 6.0
@@ -40,20 +45,30 @@ def _byte_classes() -> np.ndarray:
 _CLASS = _byte_classes()
 
 
-def line_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, bytes, document) of each line of the texts raw[offsets[i]:offsets[i+1]].  Every text has a line at least."""
+def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, document, whether an equal line of the document comes before) of each line of the texts
+    raw[offsets[i]:offsets[i+1]].  Every text has a line at least."""
     docs = len(offsets) - 1
     breaks = np.flatnonzero(raw == 10)
     starts = np.concatenate([offsets[:-1], breaks + 1])
-    ends = np.concatenate([offsets[1:], breaks])
     doc = np.concatenate([np.arange(docs), np.searchsorted(offsets, breaks, side="right") - 1])
     order = np.lexsort((starts, doc))
     starts, doc = starts[order], doc[order]
     ends = np.r_[starts[1:] - 1, 0]
     last = np.r_[doc[1:] != doc[:-1], True]
     ends[last] = offsets[1:][doc[last]]
-    n = len(starts)
-    size = ends - starts
+    line_hash = _shared.span_hashes(raw, starts, ends)
+    key = np.lexsort((line_hash, doc))
+    twin = np.zeros(len(starts), dtype=bool)
+    twin[key[1:]] = (line_hash[key][1:] == line_hash[key][:-1]) & (doc[key][1:] == doc[key][:-1])
+    return starts, ends, doc, twin
+
+
+def _own(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, twin: np.ndarray, stop: int) -> np.ndarray:
+    """What describes each of the lines raw[starts[i]:ends[i]], which follow each other; the next one begins at stop."""
+    base = int(starts[0])
+    raw, starts, ends = raw[base:stop], starts - base, ends - base
+    n, size = len(starts), ends - starts
     kind = _CLASS[raw]
     if len(raw) > 1:  # capitals of Latin-1
         kind = kind.copy()
@@ -61,7 +76,7 @@ def line_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     line_of = np.searchsorted(starts, np.arange(len(raw)), side="right") - 1 if len(raw) else np.zeros(0, np.int64)
     counts = np.bincount(line_of * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float64)
     share = counts / np.maximum(size, 1)[:, None]
-    ws, we, _ = _shared.word_spans(raw, offsets)
+    ws, we, _ = _shared.word_spans(raw, np.r_[starts, len(raw)])
     wl = line_of[ws] if len(ws) else np.zeros(0, np.int64)
     words = np.bincount(wl, minlength=n)
     chars = np.bincount(wl, weights=(we - ws), minlength=n)
@@ -79,20 +94,32 @@ def line_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         fresh = np.r_[True, (h[key][1:] != h[key][:-1]) | (wl[key][1:] != wl[key][:-1])]
         uniq = np.bincount(wl[key], weights=fresh, minlength=n)
     variety = np.where(words > 0, uniq / np.maximum(words, 1) ** 0.9, 0)
-    line_hash = _shared.span_hashes(raw, starts, ends)
-    key = np.lexsort((line_hash, doc))
-    twin = np.zeros(n)
-    twin[key[1:]] = (line_hash[key][1:] == line_hash[key][:-1]) & (doc[key][1:] == doc[key][:-1])
     mean = chars / np.maximum(words, 1)
-    own = np.column_stack([
+    return np.column_stack([
         share, np.log1p(size) / 6, np.minimum(mean, 30) / 10, repeats, capital, odd, variety, twin, size == 0,
         np.sqrt(share[:, 1]), np.sqrt(share[:, 4]), np.sqrt(share[:, 6]), np.sqrt(share[:, 5]), words == 1,
     ])
-    edge = np.zeros((1, own.shape[1]))
-    before, after = np.r_[edge, own[:-1]], np.r_[own[1:], edge]
-    first = np.r_[True, doc[1:] != doc[:-1]]
-    before[first], after[last] = 0, 0
-    return np.column_stack([own, before, after, first, last, np.ones(n)]), size, doc
+
+
+def line_blocks(raw: np.ndarray, offsets: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, bytes, document) of the lines, in blocks: each line's numbers and those of its neighbours in the text."""
+    starts, ends, doc, twin = _lines(raw, offsets)
+    size, first, last = ends - starts, np.r_[True, doc[1:] != doc[:-1]], np.r_[doc[1:] != doc[:-1], True]
+    for a in range(0, len(starts), block):
+        b = min(a + block, len(starts))
+        lo, hi = max(a - 1, 0), min(b + 1, len(starts))
+        own = _own(raw, starts[lo:hi], ends[lo:hi], twin[lo:hi], int(starts[hi]) if hi < len(starts) else len(raw))
+        edge = np.zeros((1, own.shape[1]))
+        before, after = np.r_[edge, own[:-1]], np.r_[own[1:], edge]
+        before[first[lo:hi]], after[last[lo:hi]] = 0, 0
+        rows = slice(a - lo, b - lo)
+        yield np.column_stack([own[rows], before[rows], after[rows], first[a:b], last[a:b], np.ones(b - a)]), size[a:b], doc[a:b]
+
+
+def line_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, bytes, document) of each line."""
+    parts = list(line_blocks(raw, offsets, 1 << 62))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def chains(doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,6 +162,38 @@ def forward_backward(unary: np.ndarray, move: np.ndarray, lines: np.ndarray) ->
     return marg, pair, z
 
 
+def _log_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices of logarithms."""
+    return np.logaddexp(a[..., :, :1] + b[..., :1, :], a[..., :, 1:] + b[..., 1:, :])
+
+
+def long_marginals(unary: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Marginals of one long chain, (lines, 2): products of the steps within runs of about the square root of its length, all
+    runs at a time, and then from run to run."""
+    n = len(unary)
+    width = max(1, int(np.sqrt(n)))
+    runs = -(-n // width)
+    unit = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+    step = np.empty((runs * width, 2, 2))
+    step[:n] = move[None] + unary[:, None, :]
+    step[0], step[n:] = unit, unit
+    step = step.reshape(runs, width, 2, 2)
+    up, down = np.empty_like(step), np.empty_like(step)
+    up[:, 0], down[:, -1] = step[:, 0], unit
+    for s in range(1, width):
+        up[:, s] = _log_product(up[:, s - 1], step[:, s])
+        down[:, -1 - s] = _log_product(step[:, -s], down[:, -s])
+    enter, leave = np.empty((runs, 1, 2)), np.zeros((runs, 2, 1))
+    enter[0] = unary[0]
+    for r in range(1, runs):
+        enter[r] = _log_product(enter[r - 1], up[r - 1, -1])
+    for r in range(runs - 2, -1, -1):
+        leave[r] = _log_product(_log_product(step[r + 1, 0], down[r + 1, 0]), leave[r + 1])
+    fwd = _log_product(enter[:, None], up).reshape(-1, 2)[:n]
+    back = _log_product(down, leave[:, None]).reshape(-1, 2)[:n]
+    return np.exp(fwd + back - np.logaddexp(fwd[-1, 0], fwd[-1, 1]))
+
+
 def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Features by mean and scale, within bounds, so that what training hardly saw does not decide alone."""
     return np.clip((x - mean) / scale, -FEATURE_BOUND, FEATURE_BOUND)
@@ -154,11 +213,16 @@ class LineField:
 
     def good_share(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Length-weighted mean probability of good lines, for each text."""
-        x, size, doc = line_table(raw, offsets)
-        unary = standard(x, self.mean, self.scale) @ self.weights
+        unary, size, doc = zip(*((standard(x, self.mean, self.scale) @ self.weights, size, doc) for x, size, doc in line_blocks(raw, offsets, BLOCK_LINES)), strict=True)
+        unary, size, doc = np.concatenate(unary), np.concatenate(size), np.concatenate(doc)
         w = np.maximum(size, 1).astype(np.float64)
         p = np.zeros(len(size))
         for _, lines in chains(doc):
+            if lines.shape[1] > LONG_CHAIN:
+                for one in lines:
+                    one = one[one >= 0]
+                    p[one] = long_marginals(unary[one], self.move)[:, 1]
+                continue
             marg, _, _ = forward_backward(unary, self.move, lines)
             ok = lines >= 0
             p[lines[ok]] = marg[:, :, 1][ok]
@@ -235,7 +299,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column | None = N
         rows = rows.filter(may_learn)
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = _shared.labelled_sample(rows, "quality", per_label, "quality")
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").toArrow()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= LONGEST_SAMPLE)
+    got = texts.join(F.broadcast(picked), "doc_id").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(got.column("text").to_pylist(), got.column("quality").to_pylist())
 
