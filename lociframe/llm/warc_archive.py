@@ -177,7 +177,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the index's rows, with payloads (null for a revisit)."""
     _shared.prepare(index.sparkSession)
     block = F.expr(f"offset div {BLOCK_BYTES}")
-    ranges = index.select("file", "offset", "length").repartition("file", block).sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0  # tasks by what they read, not by the few bytes of their index rows
+    ranges = index.select("file", "offset", "length").repartition(max(1, -(-total // BLOCK_BYTES)), "file", block).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
