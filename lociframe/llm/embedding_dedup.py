@@ -189,6 +189,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     by_class = classes.select("label", "key", "rep", "copies").join(counts, F.col("rep") == F.col("node"), "left").drop("node")
     by_class = by_class.join(comps, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component"))
-    joined = rows.select("vec_id", "label", "key").join(by_class, ["label", "key"], "left")
-    component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    # rows that link with nothing pass by the join, where they would all share one null key
+    joined = rows.filter("fine").select("vec_id", "label", "key").join(by_class, ["label", "key"])
+    alone = rows.filter("NOT fine").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    both = joined.select("vec_id", "links", "component").unionByName(alone)
+    return both.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept"))
