@@ -51,7 +51,7 @@ BLOCKS = 16
 #: Documents of one gathering that share a signature, from which on it is sent once.
 HOT = 2_000
 #: Documents of one element that a task compares with each other; elements of more are dealt in tiles.
-TILE = 1_000
+TILE = 250
 _SALTS = [U64(0x8CB92BA72F3D8DD7), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5)]
 #: Kinds of the rows of the first pass, in column n; a document's row has the size of its set.
 _BLOCK, _TRY, _OPEN, _HOT_MARK = -1, -2, -3, -4

@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
+from pyspark.sql import functions as F
 
 from lociframe.llm import _shared, bestfit_packing, embedding_dedup, language_id, line_quality, lz_fingerprint, maxent_lm, partenum_join, secret_scan, sentencepiece_codec, warc_archive
 
@@ -110,6 +112,38 @@ def test_forward_backward_by_enumeration():
 # ---------------------------------------------------------------- secrets
 
 
+def test_long_chains_and_blocks_of_lines(monkeypatch):
+    rng = np.random.default_rng(3)
+    move = rng.normal(size=(2, 2))
+    for n in (1, 2, 3, 10, 97, 400):
+        unary = rng.normal(size=(n, 2))
+        want, _, _ = line_quality.forward_backward(unary, move, np.arange(n)[None, :])
+        assert np.allclose(line_quality.long_marginals(unary, move), want[0])
+    lines = ["", "A b!", "x" * 50, "one two, two.", "éÀ ß"]
+    texts = ["\n".join(random.Random(i).choices(lines, k=i * 7)) for i in range(12)]
+    raw, offsets = line_quality.flat(texts)
+    whole = line_quality.line_table(raw, offsets)
+    for block in (1, 2, 5, 64):
+        parts = [np.concatenate(x) for x in zip(*line_quality.line_blocks(raw, offsets, block), strict=True)]
+        assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+    field = line_quality.LineField(rng.normal(size=(whole[0].shape[1], 2)) * 0.1, move, np.zeros(whole[0].shape[1]), np.ones(whole[0].shape[1]), 3.0, -1.0)
+    plain = field.scores(raw, offsets)
+    monkeypatch.setattr(line_quality, "LONG_CHAIN", 3)
+    monkeypatch.setattr(line_quality, "BLOCK_LINES", 7)
+    assert np.allclose(field.scores(raw, offsets), plain)
+
+
+def test_millions_of_lines_take_bounded_memory():
+    import resource
+
+    width = line_quality.line_table(*line_quality.flat(["a\nb"]))[0].shape[1]
+    field = line_quality.LineField(np.zeros((width, 2)), np.zeros((2, 2)), np.zeros(width), np.ones(width))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = field.scores(*line_quality.flat(["\n" * 2_000_000]))
+    assert abs(got[0] - 1 / (1 + math.exp(-0.5))) < 1e-6
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
@@ -131,6 +165,28 @@ def test_secrets(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
 
 
+def test_many_secrets_in_one_text(spark):
+    text = "".join(f"token={i:09d} \n" for i in range(20_000)) + "x"
+    began = time.time()
+    row = secret_scan.secret_report(docs(spark, [text])).first()
+    assert row.n_assign == 20_000 and row.spans.startswith("assign:0:15,assign:17:32,") and row.spans.endswith(f"assign:{17 * 19_999}:{17 * 19_999 + 15}")
+    assert time.time() - began < 60
+
+
+def test_results_under_other_names(spark):
+    df = docs(spark, ["one two three", None]).withColumns({"found": F.lit(1), "Accepted": F.lit(2), "__text": F.lit("t"), "__kept": F.lit("k")})
+    got = secret_scan.scan_secrets(df, keep=df.columns, name="spans").collect()
+    assert {(r.doc_id, r.found, r["__text"], r["__kept"]) for r in got} == {(0, 1, "t", "k"), (1, 1, "t", "k")}
+    with pytest.raises(ValueError):
+        secret_scan.scan_secrets(df, keep=df.columns)
+    with pytest.raises(ValueError):
+        language_id.identify(df, None, keep=df.columns)
+    with pytest.raises(ValueError):
+        line_quality.score_quality(df, line_quality.LineField(), keep=df.columns)
+    got = line_quality.score_quality(df, line_quality.LineField(), keep=df.columns, name="quality_score").collect()
+    assert {(r.doc_id, r.score, r["__text"], r.quality_score) for r in got} == {(0, "y", "t", 0.5), (1, "y", "t", 0.5)}
+
+
 def test_random_strings_and_prose(spark):
     rng = random.Random(5)
     import base64
@@ -496,6 +552,8 @@ def test_pipeline(spark, tmp_path):
     secret = [line(60) + "\n" + line(60) + ' token = "' + "0123456789abcdef" * 3 + '"']
     texts = good + bad + near + secret + [None, "123 456"]
     df = spark.createDataFrame([(i, t, "en" if t else None, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # further columns with the names of results and of what the stages use inside
+    df = df.withColumns({c: F.col("doc_id") for c in ("Score", "accepted", "lang_pred", "found", "__text", "__kept", "row", "component_id")})
     df.write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in range(60, 90)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -503,6 +561,7 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         current = _shared.written(stage(spark, current, str(tmp_path)), "stage")
         assert current.columns == df.columns
+        assert all(r[c] == r.doc_id for r in current.collect() for c in df.columns[5:])
         kept[name] = {r.doc_id: r.text for r in current.collect()}
     assert set(kept["language ID"]) == set(range(len(texts) - 2))
     assert set(kept["quality classifier"]) == set(range(60)) | set(range(90, 96))
@@ -510,3 +569,16 @@ def test_pipeline(spark, tmp_path):
     assert "[SECRET]" in kept["secret scans"][95] and "0123456789" not in kept["secret scans"][95]
     packed = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert packed == set(kept["secret scans"])
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Rows that share an id, or have none, go only as near duplicates."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, "quite another text of seven words"), (None, text + " x"), (None, "a third one that is like none of them"), (2, text), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "d"))
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path)).collect()
+    assert left and sum((r.text or "").startswith("w0 ") for r in left) == 1 and len(left) == 5
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), str(tmp_path)).count() == 0
