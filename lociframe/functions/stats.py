@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._args import as_col
@@ -195,9 +195,11 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> dict[str, float]:
 def average_ranks(df: DataFrame, col: str, name: str, by: str | None = None) -> DataFrame:
     """Ranks in which equal values share their mean, from counts of distinct values."""
     keys = [by] if by else []
+    from ..operators.tables import around
+
     counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    below = around(counts, by, [col], before={"__below": (F.sum, "__n", False)})
+    ranks = below.withColumn(name, F.coalesce("__below", F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n", "__below")
     return df.join(ranks, [*keys, col])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as seq
-from .graph import _has_dir
+from .store import settled
 
 
 def align_pair(a: str, b: str, kind: str = "global", match: float = 1, mismatch: float = -1, gap_open: float = -2, gap_extend: float = -1) -> dict:
@@ -169,21 +169,20 @@ def clusters(df: DataFrame, key: str, s: str, least: float, k: int = 21) -> Data
     k-mers; equal sets count once.  Keys are unique and not null.  Each round drops what is similar to a smaller key that is known to stay."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    settle = (lambda d: d.checkpoint()) if _has_dir(df) else (lambda d: d.localCheckpoint())
     every = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.transform(seq.kmers(F.upper(F.col(s)), k), seq.kmer_canonical))).alias("ka"))
-    full = settle(every.filter(F.size("ka") > 0))
+    full = settled(every.filter(F.size("ka") > 0))
     sets = full.groupBy("ka").agg(F.min("key").alias("a"))
-    cell = settle(sets.select("a", F.size("ka").alias("n"), F.explode("ka").alias("kmer")))
+    cell = settled(sets.select("a", F.size("ka").alias("n"), F.explode("ka").alias("kmer")))
     other = cell.select(F.col("a").alias("b"), F.col("n").alias("m"), "kmer")
     shared = cell.join(other, "kmer").filter("a < b").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    pairs = settle(shared.filter(F.col("c") >= least * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b"))
+    pairs = settled(shared.filter(F.col("c") >= least * (F.col("n") + F.col("m") - F.col("c"))).select("a", "b"))
     gone, left = pairs.select("b").limit(0), pairs
     while not left.isEmpty():
         stay = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        drop = settle(stay.select("b").distinct())
+        drop = settled(stay.select("b").distinct())
         gone = gone.unionByName(drop)
-        left = settle(left.join(drop, "b", "left_anti").join(drop.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
-    gone = settle(gone)
+        left = settled(left.join(drop, "b", "left_anti").join(drop.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+    gone = settled(gone)
     joined = pairs.join(gone, "b").join(gone.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("to"))
     first = sets.join(joined, sets.a == joined.b, "left").select("ka", F.coalesce("to", "a").alias("representative"))
     own = full.join(first, "ka").select("key", "representative")

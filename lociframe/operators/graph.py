@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import settled
+
 
 @dataclass
 class Graph:
@@ -67,17 +69,20 @@ class Graph:
     def edge_count(self) -> DataFrame:
         return self.edges.agg(F.count(F.lit(1)).alias("edges"))
 
-    def connected_components(self, max_rounds: int = 60) -> DataFrame:
-        """(id, component): the smallest reachable id, by rounds of least neighbours with jumps over found roots."""
+    def connected_components(self, max_rounds: int | None = None) -> DataFrame:
+        """(id, component): the smallest reachable id, by rounds of least neighbours with jumps over found roots, until nothing
+        changes.  Raises if a bound max_rounds is given and reached before that."""
         both = self._both() if not self.directed else Graph(self.nodes, self.edges)._both()
-        both = both.filter("a <> b").distinct().checkpoint() if _has_dir(self.nodes) else both.filter("a <> b").distinct().persist()
+        both = settled(both.filter("a <> b").distinct())
         comp = self.nodes.select("id", F.col("id").alias("component"))
-        for _ in range(max_rounds):
+        done = 0
+        while max_rounds is None or done < max_rounds:
+            done += 1
             near = both.join(comp, both.b == comp.id).groupBy("a").agg(F.min("component").alias("m"))
             step = comp.join(near, comp.id == near.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
             root = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
             new = step.join(root, "component").select("id", F.col("root").alias("component"))
-            new = new.checkpoint() if _has_dir(self.nodes) else new.persist()
+            new = settled(new)
             old = comp.withColumnRenamed("component", "before")
             if not new.join(old, "id").filter("component <> before").limit(1).count():
                 return new
@@ -87,9 +92,8 @@ class Graph:
     def shortest_path(self, a, b, max_steps: int | None = None) -> list | None:
         """Nodes of an unweighted path, None if there is none: frontiers of arrays of nodes, one kept for each node reached,
         until b is met or nothing new is reached.  Raises if a bound max_steps is given and reached before that."""
-        settle = (lambda df: df.checkpoint()) if _has_dir(self.nodes) else (lambda df: df.localCheckpoint())
-        both = settle(self._both().select("a", "b").distinct())
-        front = settle(self.nodes.filter(F.col("id") == a).select("id", F.array("id").alias("path")))
+        both = settled(self._both().select("a", "b").distinct())
+        front = settled(self.nodes.filter(F.col("id") == a).select("id", F.array("id").alias("path")))
         seen, step = front.select("id"), 0
         while True:
             hit = front.filter(F.col("id") == b).select("path").head()
@@ -98,17 +102,13 @@ class Graph:
             if max_steps is not None and step >= max_steps:
                 raise RuntimeError(f"no path of {max_steps} edges or fewer, and the search did not end")
             nxt = both.join(front, both.a == front.id).groupBy("b").agg(F.min("path").alias("path"))
-            front = settle(nxt.join(seen, nxt.b == seen.id, "left_anti").select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")))
+            front = settled(nxt.join(seen, nxt.b == seen.id, "left_anti").select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")))
             if front.isEmpty():
                 return None
             step += 1
             seen = seen.unionByName(front.select("id"))
             if step % 16 == 0:
-                seen = settle(seen.coalesce(both.rdd.getNumPartitions()))
-
-
-def _has_dir(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+                seen = settled(seen.coalesce(both.rdd.getNumPartitions()))
 
 
 def graph(nodes: DataFrame, edges: DataFrame, directed: bool = False) -> Graph:

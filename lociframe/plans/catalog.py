@@ -227,24 +227,30 @@ query("p_adjust", lambda t: st.p_adjust(t.orders.select("o_orderkey", (F.col("o_
 query("kaplan_meier", lambda t: st.kaplan_meier(t.part.select("p_size", (F.col("p_partkey") % 3 > 0).alias("e")), "p_size", "e").withColumn("survival", _r("survival", 6)), "WITH a AS (SELECT p_size AS time, count(*) AS n, count(*) FILTER (p_partkey % 3 > 0) AS d FROM part GROUP BY 1), b AS (SELECT time, d, CAST(sum(n) OVER (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS at_risk FROM a) SELECT time, at_risk, round(exp(sum(CASE WHEN d < at_risk THEN ln(1 - d / at_risk) ELSE -1e9 END) OVER (ORDER BY time)), 6) AS survival FROM b WHERE d > 0")
 
 
-def _numbers(name: str, fn: Callable[[Tables], dict]) -> None:
+def _numbers(name: str, fn: Callable[[Tables], dict], **sql: str) -> None:
+    """A row for each number that SQL gives as well (rounded to nine significant digits); tests check the p-values."""
     def run(t: Tables) -> DataFrame:
-        return t._spark.createDataFrame([(k, float(v)) for k, v in fn(t).items()], "name string, value double")
-
-    query(name, run)
-
-
-_numbers("ttest", lambda t: st.ttest(t.lineitem, "l_quantity", "l_tax"))
-_numbers("ttest_one", lambda t: st.ttest_one(t.lineitem, "l_quantity", 25.0))
-_numbers("ttest_paired", lambda t: st.ttest_paired(t.lineitem, "l_discount", "l_tax"))
-_numbers("anova", lambda t: st.anova(t.orders, "o_orderstatus", "o_totalprice"))
-_numbers("chi_square", lambda t: st.chi_square(t.events.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("o"), F.lit(2000.0).alias("e")), "o", "e"))
-_numbers("spearman", lambda t: st.spearman(t.part.select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b"))
-
-_numbers("wilcoxon", lambda t: md.wilcoxon(t.orders.filter("o_orderstatus <> 'P'").select("o_orderstatus", "o_totalprice"), "o_orderstatus", "o_totalprice"))
-_numbers("ks_test", lambda t: md.ks_test(t.orders.filter("o_orderstatus <> 'P'"), "o_orderstatus", "o_totalprice"))
-_numbers("kendall", lambda t: md.kendall(t.part, "p_size", "p_retailprice"))
-_numbers("glm", lambda t: md.glm(t.orders.select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("x")), "y", ["x"]))
+        got = fn(t)
+        return t._spark.createDataFrame([(k, float(f"{float(got[k]):.9g}")) for k in sql], "name string, value double")
+
+    source = sql.pop("source")
+    digits = lambda e: f"CAST(printf('%.9g', CAST({e} AS DOUBLE)) AS DOUBLE)"
+    query(name, run, " UNION ALL ".join(f"SELECT '{k}' AS name, {digits(e)} AS value FROM ({source})" for k, e in sql.items()))
+
+
+_numbers("ttest", lambda t: st.ttest(t.lineitem, "l_quantity", "l_tax"), source="SELECT count(*) AS n, avg(l_quantity) AS a, avg(l_tax) AS b, (var_samp(l_quantity) + var_samp(l_tax)) / 2 AS v FROM lineitem", t_statistic="(a - b) / sqrt(v * 2 / n)", df="2 * n - 2")
+_numbers("ttest_one", lambda t: st.ttest_one(t.lineitem, "l_quantity", 25.0), source="SELECT count(*) AS n, avg(l_quantity) AS a, var_samp(l_quantity) AS v FROM lineitem", t_statistic="(a - 25) / sqrt(v / n)", df="n - 1")
+_numbers("ttest_paired", lambda t: st.ttest_paired(t.lineitem, "l_discount", "l_tax"), source="SELECT count(*) AS n, avg(l_discount - l_tax) AS a, var_samp(l_discount - l_tax) AS v FROM lineitem", t_statistic="a / sqrt(v / n)", df="n - 1")
+_numbers("anova", lambda t: st.anova(t.orders, "o_orderstatus", "o_totalprice"), source="SELECT count(*) AS k, sum(n) AS n, sum(n * (m - g) * (m - g)) AS b, sum(w) AS w FROM (SELECT count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) * (count(*) - 1) AS w, (SELECT avg(o_totalprice) FROM orders) AS g FROM orders GROUP BY o_orderstatus)", f_statistic="(b / (k - 1)) / (w / (n - k))", df_between="k - 1", df_within="n - k")
+_numbers("chi_square", lambda t: st.chi_square(t.events.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("o"), F.lit(2000.0).alias("e")), "o", "e"), source="SELECT sum((o - 2000.0) * (o - 2000.0) / 2000.0) AS x, count(*) AS k FROM (SELECT count(*) AS o FROM events GROUP BY event_type)", chi_square="x", df="k - 1")
+_RANKS = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
+_numbers("spearman", lambda t: st.spearman(t.part.select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b")), "a", "b"), source=f"SELECT corr(a, b) AS r, count(*) AS n FROM (SELECT {_RANKS.format('p_size')} AS a, {_RANKS.format('p_retailprice')} AS b FROM part)", coefficient="r", n="n")
+
+_numbers("wilcoxon", lambda t: md.wilcoxon(t.orders.filter("o_orderstatus <> 'P'").select("o_orderstatus", "o_totalprice"), "o_orderstatus", "o_totalprice"), source=f"SELECT count(*) FILTER (s = 'F') AS n, count(*) FILTER (s <> 'F') AS m, sum(r) FILTER (s = 'F') - count(*) FILTER (s = 'F') * (count(*) FILTER (s = 'F') + 1) / 2.0 AS u FROM (SELECT o_orderstatus AS s, {_RANKS.format('o_totalprice')} AS r FROM orders WHERE o_orderstatus <> 'P')", u_statistic="u", z="(u - n * m / 2.0) / sqrt(n * m * (n + m + 1) / 12.0)")
+_numbers("ks_test", lambda t: md.ks_test(t.orders.filter("o_orderstatus <> 'P'"), "o_orderstatus", "o_totalprice"), source="SELECT max(abs(f / n - o / m)) AS d FROM (SELECT sum(a) OVER w AS f, sum(b) OVER w AS o, sum(a) OVER () AS n, sum(b) OVER () AS m FROM (SELECT o_totalprice AS x, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) WINDOW w AS (ORDER BY x))", d_statistic="d")
+_numbers("kendall", lambda t: md.kendall(t.part, "p_size", "p_retailprice"), source="SELECT sum(sign((a.p_size - b.p_size) * (a.p_retailprice - b.p_retailprice))) AS s, (SELECT count(*) FROM part) AS n FROM part a JOIN part b ON a.p_partkey < b.p_partkey", tau="s / (n * (n - 1) / 2.0)")
+query("glm", lambda t: t._spark.createDataFrame([(k, round(v, 6)) for k, v in md.glm(t.orders.select("o_custkey", (F.col("o_totalprice") / 1e5).alias("y"), (F.col("o_orderkey") % 13).alias("x")), "y", ["x"], "gaussian").items()], "name string, value double"), "SELECT 'intercept' AS name, round(regr_intercept(o_totalprice / 1e5, o_orderkey % 13), 6) AS value FROM orders UNION ALL SELECT 'x', round(regr_slope(o_totalprice / 1e5, o_orderkey % 13), 6) FROM orders")
+query("glm_binomial", lambda t: t._spark.createDataFrame([(k, float(v)) for k, v in md.glm(t.orders.select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("x")), "y", ["x"]).items()], "name string, value double"))
 query("diff_expr", lambda t: md.diff_expr(t.lineitem.filter("l_linestatus IN ('F', 'O')"), "l_suppkey", "l_linestatus", "l_quantity").select("l_suppkey", _r("log2fc").alias("log2fc"), _r("t").alias("t")),
       "SELECT l_suppkey, round(log2((avg(l_quantity) FILTER (l_linestatus = 'O') + 1) / (avg(l_quantity) FILTER (l_linestatus = 'F') + 1)), 4) AS log2fc, round((avg(l_quantity) FILTER (l_linestatus = 'O') - avg(l_quantity) FILTER (l_linestatus = 'F')) / sqrt(var_samp(l_quantity) FILTER (l_linestatus = 'F') / count(*) FILTER (l_linestatus = 'F') + var_samp(l_quantity) FILTER (l_linestatus = 'O') / count(*) FILTER (l_linestatus = 'O')), 4) AS t FROM lineitem GROUP BY 1")
 query("enrich", lambda t: md.enrich(t.part.filter("p_size < 15").select(F.col("p_partkey").alias("gene")), t.part.groupBy(F.col("p_brand").alias("name")).agg(F.collect_list("p_partkey").alias("genes")), 400).select("term", "overlap", "size"), "SELECT p_brand AS term, count(*) FILTER (p_size < 15) AS overlap, count(*) AS size FROM part GROUP BY 1 HAVING overlap > 0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from ..operators import intervals as iv
 from ..operators import matrix as mx
 from ..operators import modelling as md
 from ..operators import tables as tb
+from ..operators.store import shared_folder
 from ..sources import files as fl
 from ..sources import formats as fm
 from . import plots as pl
@@ -175,12 +175,7 @@ query("dotplot", lambda t: pl.dotplot(_DNA(t).select("k", "s", "t"), "s", "t", 4
 
 # ---------------------------------------------------------------- files: written, then read again
 def _folder(spark: SparkSession, ending: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lociframe-")
-    return f"{base.rstrip('/')}/lociframe/files-{uuid.uuid4().hex}.{ending}"
+    return f"{shared_folder(spark)}/lociframe/files-{uuid.uuid4().hex}.{ending}"
 
 
 def _round_trip(name: str, ending: str, rows, write, read, sql: str) -> None:

@@ -170,3 +170,31 @@ def test_intervals_of_one_chromosome(spark):
     assert sorted((r.start, r.end, r.distance) for r in iv.closest(t, b).collect()) == want
     g = gr.Graph(spark.createDataFrame([(1, "x")], "id int, name string"), spark.createDataFrame([(1, 1, 1.0)], "from int, to int, weight double"))
     assert g.node_attr(1, "name") == "x" and g.node_attr(9, "name") is None
+
+
+def test_tails_against_closed_forms():
+    for t in (0.3, 1.0, 4.0):
+        assert abs(stats.t_two_sided(t, 1) - (1 - 2 * math.atan(t) / math.pi)) < 1e-9
+        assert abs(stats.t_two_sided(t, 2) - (1 - t / math.sqrt(2 + t * t))) < 1e-9
+    for x in (0.5, 3.0, 12.0):
+        assert abs(stats.chi_tail(x, 2) - math.exp(-x / 2)) < 1e-12
+        assert abs(stats.chi_tail(x, 4) - math.exp(-x / 2) * (1 + x / 2)) < 1e-12
+        assert abs(stats.f_tail(x, 2, 8) - (1 + 2 * x / 8) ** -4) < 1e-9
+
+
+def test_p_values_of_the_tests(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.gauss(0, 1), rng.gauss(0.5, 1), "ab"[i % 2]) for i in range(400)], "x double, y double, g string")
+    got = stats.ttest(df, "x", "y")
+    assert got["p_value"] == stats.t_two_sided(got["t_statistic"], got["df"]) < 1e-3
+    assert 0 < stats.anova(df, "g", "x")["p_value"] <= 1 and 0 < md.ks_test(df, "g", "x")["p_value"] <= 1
+    assert 0 < md.wilcoxon(df, "g", "x")["p_value"] <= 1 and 0 < stats.spearman(df, "x", "y")["p_value"] <= 1
+
+
+@pytest.mark.parametrize("values", [3, 1000])
+def test_kendall(spark, values):
+    rng = random.Random(values)
+    rows = [(float(rng.randrange(values)), float(rng.randrange(values))) for _ in range(500)]
+    sign = lambda v: (v > 0) - (v < 0)
+    want = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(rows) for b in rows[:i]) / (500 * 499 / 2)
+    assert abs(md.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y")["tau"] - want) < 1e-12
