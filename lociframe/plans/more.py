@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import collections as c
@@ -12,17 +14,21 @@ from ..functions import hashing as h
 from ..functions import kinds as k
 from ..functions import sequences as q
 from ..functions import stats as st
+from ..operators import alignment as al
 from ..operators import graph as gr
 from ..operators import intervals as iv
 from ..operators import matrix as mx
 from ..operators import modelling as md
+from ..operators import sequences as sq
 from ..operators import tables as tb
 from ..operators.store import shared_folder
 from ..sources import files as fl
 from ..sources import formats as fm
+from ..streaming import batches as sb
+from . import control as ct
 from . import plots as pl
 from . import scalars
-from .catalog import _AL, _AS, _DNA, _DS, _VAR, _VS, Tables, _r, _sp, _spans, query
+from .catalog import _AL, _AS, _DNA, _DS, _RD, _VAR, _VS, Tables, _r, _sp, _spans, query
 
 
 def _kept(name: str, base: str, column, sql: str) -> None:
@@ -257,3 +263,110 @@ def _schema_rows(t: Tables) -> DataFrame:
 query("sql_schema", _schema_rows, "SELECT unnest([0, 1])::BIGINT AS cid, unnest(['r_regionkey', 'r_name']) AS name")
 
 
+
+
+# ---------------------------------------------------------------- graphs
+def _graph(t: Tables, directed: bool = False) -> gr.Graph:
+    """Orders of a customer follow each other: chains of many steps."""
+    at = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    edges = t.orders.select(F.col("o_orderkey").alias("from"), F.lead("o_orderkey").over(at).alias("to"), F.lit(1.0).alias("weight")).filter("to IS NOT NULL")
+    return gr.graph(t.orders.select(F.col("o_orderkey").alias("id")), edges, directed)
+
+
+_EDGES = "(SELECT o_orderkey AS \"from\", lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS \"to\", 1.0::DOUBLE AS weight FROM orders QUALIFY \"to\" IS NOT NULL)"
+query("graph", lambda t: _graph(t).degrees(), f"SELECT o_orderkey AS id, count(e.x) AS degree FROM orders LEFT JOIN (SELECT unnest([\"from\", \"to\"]) AS x FROM {_EDGES}) e ON e.x = o_orderkey GROUP BY 1")
+query("nodes", lambda t: _graph(t).nodes, "SELECT o_orderkey AS id FROM orders")
+query("edges", lambda t: _graph(t).edges, f"SELECT * FROM {_EDGES}")
+query("connected_components", lambda t: _graph(t).connected_components(), "SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders")
+query("add_node", lambda t: _graph(t).add_node(-1).nodes, "SELECT o_orderkey AS id FROM orders UNION ALL SELECT -1")
+query("add_edge", lambda t: _graph(t).add_edge(-1, -2).edges, f"SELECT * FROM {_EDGES} UNION ALL SELECT -1, -2, 1.0")
+query("remove_edge", lambda t: gr.graph(t.nation.select(F.col("n_nationkey").alias("id")), t.nation.select(F.col("n_nationkey").alias("from"), F.col("n_regionkey").alias("to"))).remove_edge(7, 4 - 4).edges.select("from", "to"), "SELECT n_nationkey AS \"from\", n_regionkey AS \"to\" FROM nation WHERE NOT (n_nationkey = 7 AND n_regionkey = 0)")
+_FLAGS = lambda t, **got: t._spark.createDataFrame([(n, bool(v)) for n, v in got.items()], "name string, value boolean")
+query("has_node", lambda t: _FLAGS(t, a=_graph(t).has_node(1), b=_graph(t).has_node(-5)), "SELECT 'a' AS name, EXISTS (FROM orders WHERE o_orderkey = 1) AS value UNION ALL SELECT 'b', false")
+query("has_edge", lambda t: _FLAGS(t, a=_graph(t).has_edge(1, 2), b=_graph(t).has_edge(-5, 1)), f"SELECT 'a' AS name, EXISTS (FROM {_EDGES} WHERE (\"from\" = 1 AND \"to\" = 2) OR (\"from\" = 2 AND \"to\" = 1)) AS value UNION ALL SELECT 'b', false")
+
+
+def _path(t: Tables) -> DataFrame:
+    """Along the line of nations by number, the longest path that the table has."""
+    line = t.nation.select(F.col("n_nationkey").alias("from"), (F.col("n_nationkey") + 1).alias("to")).filter("to < 25")
+    path = gr.graph(t.nation.select(F.col("n_nationkey").alias("id")), line).shortest_path(2, 9)
+    return t._spark.createDataFrame(list(enumerate(path)), "step int, id int")
+
+
+query("shortest_path", _path, "SELECT (n_nationkey - 2)::INT AS step, n_nationkey AS id FROM nation WHERE n_nationkey BETWEEN 2 AND 9")
+
+# ---------------------------------------------------------------- matrices on the driver
+_SQUARE = [[4.0, 1.0, 0.0], [1.0, 3.0, 1.0], [0.0, 1.0, 2.0]]
+_VALUES = lambda t, got: t._spark.createDataFrame([(i, round(float(v), 9) + 0.0) for i, v in enumerate(got)], "i int, v double")
+query("matrix", lambda t: mx.matrix(t._spark, _SQUARE), "SELECT (i // 3)::BIGINT AS i, i % 3 AS j, [4.0, 1.0, 0.0, 1.0, 3.0, 1.0, 0.0, 1.0, 2.0][i + 1]::DOUBLE AS v FROM range(9) r(i)")
+query("determinant", lambda t: _VALUES(t, [mx.determinant(mx.matrix(t._spark, _SQUARE))]), "SELECT 0 AS i, (4 * (3 * 2 - 1) - 1 * (1 * 2 - 0))::DOUBLE AS v")
+query("solve", lambda t: mx.solve(mx.matrix(t._spark, _SQUARE), mx.matrix(t._spark, [[6.0], [10.0], [8.0]])).select("i", F.round("v", 9).alias("v")), "SELECT unnest([0, 1, 2])::BIGINT AS i, unnest([1.0, 2.0, 3.0])::DOUBLE AS v")
+query("inverse", lambda t: mx.dot(mx.inverse(mx.matrix(t._spark, _SQUARE)), mx.matrix(t._spark, _SQUARE)).select("i", "j", (F.round("v", 9) + 0.0).alias("v")), "SELECT i, j, (CASE WHEN i = j THEN 1 ELSE 0 END)::DOUBLE AS v FROM range(3) a(i), range(3) b(j)")
+query("eigenvalues", lambda t: _VALUES(t, [sum(mx.eigenvalues(mx.matrix(t._spark, _SQUARE)))]), "SELECT 0 AS i, 9.0::DOUBLE AS v")
+query("svd", lambda t: _VALUES(t, [sum(d * d for d in mx.svd(mx.matrix(t._spark, _SQUARE))["d"])]), "SELECT 0 AS i, (16 + 9 + 4 + 4 * 1)::DOUBLE AS v")
+query("row", lambda t: mx.row(mx.matrix(t._spark, _SQUARE), 1).select("j", "v"), "SELECT unnest([0, 1, 2])::BIGINT AS j, unnest([1.0, 3.0, 1.0])::DOUBLE AS v")
+query("sparse_get", lambda t: mx.sparse_get(mx.to_sparse(mx.matrix(t._spark, _SQUARE)), 1, 1).select("v"), "SELECT 3.0::DOUBLE AS v")
+query("pca", lambda t: mx.pca(t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_size", "p_retailprice"], 2).agg(F.round(F.sum(F.aggregate(vector_to_array("components"), F.lit(0.0), lambda a, x: a + x * x)) / 1e6, 3).alias("spread")), "SELECT round((var_pop(p_size) + var_pop(p_retailprice)) * count(*) / 1e6, 3) AS spread FROM part")
+
+# ---------------------------------------------------------------- streams and control
+query("to_stream", lambda t: sb.to_stream(t.region), "SELECT * FROM region")
+
+
+def _doubled(batches):
+    for rows in batches:
+        yield rows.assign(n_nationkey=rows["n_nationkey"] * 2)
+
+
+query("stream_batch", lambda t: sb.stream_batch(t.nation.select("n_nationkey"), _by_value(_doubled), "n_nationkey int"), "SELECT n_nationkey * 2 AS n_nationkey FROM nation")
+
+
+def _by_value(fn):
+    """fn as a function of no module, so that it travels to the workers as it is."""
+    return types.FunctionType(fn.__code__, {"__builtins__": __builtins__}, fn.__name__)
+
+
+query("tee", lambda t: sb.tee(t.nation, _folder(t._spark, "parquet")), "SELECT * FROM nation")
+for _name in ("tap", "inspect"):
+    query(_name, lambda t, fn=getattr(sb, _name): fn(t.region, lambda df: df.schema), "SELECT * FROM region")
+_LIST = lambda t, got: t._spark.createDataFrame([(i, int(v)) for i, v in enumerate(got)], "i int, v long")
+query("par_map", lambda t: _LIST(t, ct.par_map(list(range(20)), lambda i: i * i)), "SELECT i::INT AS i, i * i AS v FROM range(20) r(i)")
+query("par_filter", lambda t: _LIST(t, ct.par_filter(list(range(20)), lambda i: i % 2 == 0)), "SELECT i::INT AS i, 2 * i AS v FROM range(10) r(i)")
+query("await_all", lambda t: _LIST(t, ct.await_all([t.nation.count, t.region.count])), "SELECT 0 AS i, count(*) AS v FROM nation UNION ALL SELECT 1, count(*) FROM region")
+query("try_call", lambda t: _FLAGS(t, good=ct.try_call(t.region.count)["ok"], bad=ct.try_call(lambda: t.region.select("none"))["ok"]), "SELECT 'good' AS name, true AS value UNION ALL SELECT 'bad', false")
+query("memoize", lambda t: _LIST(t, (lambda f: [f(3), f(3)])(ct.memoize(lambda v: v + t.region.count()))), "SELECT i::INT AS i, (SELECT count(*) + 3 FROM region) AS v FROM range(2) r(i)")
+query("once", lambda t: _LIST(t, (lambda f: [f(3), f(4)])(ct.once(lambda v: v))), "SELECT i::INT AS i, 3::BIGINT AS v FROM range(2) r(i)")
+query("time_it", lambda t: _LIST(t, [ct.time_it(t.nation.count)()[0]]), "SELECT 0 AS i, count(*) AS v FROM nation")
+query("bench", lambda t: _LIST(t, [ct.bench(lambda: 1, n=7)["iterations"]]), "SELECT 0 AS i, 7::BIGINT AS v")
+query("provenance", lambda t: _FLAGS(t, source=ct.provenance(ct.with_provenance(t.region, source="r"))["source"] == "r", none=ct.provenance(t.region)), "SELECT 'source' AS name, true AS value UNION ALL SELECT 'none', false")
+query("with_provenance", lambda t: ct.with_provenance(t.region, source="r"), "SELECT * FROM region")
+query("provenance_chain", lambda t: _LIST(t, [len(ct.provenance_chain(ct.with_provenance(ct.with_provenance(t.region, a=1), b=2)))]), "SELECT 0 AS i, 2::BIGINT AS v")
+for _name in ("checkpoint", "resume_checkpoint"):
+    query(_name, lambda t: ct.checkpoint(t.nation, _folder(t._spark, "steps"), "one"), "SELECT * FROM nation")
+query("pipeline_steps", lambda t: _FLAGS(t, filter="Filter" in ct.pipeline_steps(t.nation.filter("n_nationkey > 3")), join="Join" in ct.pipeline_steps(t.nation)), "SELECT 'filter' AS name, true AS value UNION ALL SELECT 'join', false")
+for _name, _fn in (("pipe_fuse", lambda t: ct.pipe_fuse([1, 2])), ("retry", lambda t: [ct.retry(t.region.count)]), ("try_catch", lambda t: [ct.try_catch(t.region.count, lambda e: -1)])):
+    query(_name, lambda t, fn=_fn: _LIST(t, fn(t)), "SELECT i::INT AS i, i + 1 AS v FROM range(2) r(i)" if _name == "pipe_fuse" else "SELECT 0 AS i, count(*) AS v FROM region")
+query("prop_test", lambda t: _FLAGS(t, int=ct.prop_test(lambda v: -5 <= v <= 5, ct.gen_int(-5, 5, 1))["passed"], float=ct.prop_test(lambda v: v < 0, ct.gen_float(seed=1))["passed"], str=ct.prop_test(lambda v: len(v) == 10, ct.gen_str(seed=1))["passed"]), "SELECT unnest(['int', 'float', 'str']) AS name, unnest([true, false, true]) AS value")
+query("memory_usage", lambda t: _FLAGS(t, some=ct.memory_usage() > 0), "SELECT 'some' AS name, true AS value")
+query("to_markdown", lambda t: _LIST(t, [len(ct.to_markdown(t.nation).split("\n"))]), "SELECT 0 AS i, count(*) + 2 AS v FROM nation")
+query("to_html", lambda t: _LIST(t, [ct.to_html(t.nation).count("<tr>")]), "SELECT 0 AS i, count(*) + 1 AS v FROM nation")
+query("sparkline", lambda t: _LIST(t, map(ord, ct.sparkline([r[0] for r in t.region.select("r_regionkey").orderBy("r_regionkey").collect()]))), "SELECT r_regionkey AS i, ord('▁') + (r_regionkey / 4 * 7)::INT - CASE WHEN r_regionkey IN (2, 3) THEN (r_regionkey / 4 * 7)::INT - floor(r_regionkey / 4 * 7)::INT WHEN r_regionkey = 1 THEN (r_regionkey / 4 * 7)::INT - 1 ELSE 0 END::BIGINT AS v FROM region")
+query("bar_chart", lambda t: _LIST(t, [ct.bar_chart([(r["r_name"], float(r["r_regionkey"])) for r in t.region.collect()]).count("█")]), "SELECT 0 AS i, sum(r_regionkey * 10)::BIGINT AS v FROM region")
+
+# ---------------------------------------------------------------- others
+_kept("interval", "lists", lambda: iv.interval(F.lit("chr1"), F.col("k"), F.col("k") + 5)["end"], "k + 5")
+_kept("sketch", "dna", lambda: F.size(q.sketch("s", 5, 1000)), f"len(list_distinct(list_transform(range(1, 29), lambda i: least(substr(s, i::INT, 5), reverse(translate(substr(s, i::INT, 5), 'ACGT', 'TGCA'))))))::INT")
+_kept("sketch_dist", "dna", lambda: F.round(q.sketch_dist(q.sketch("s", 5), q.sketch("s", 5)), 6), "0.0::DOUBLE")
+_kept("containment", "dna", lambda: F.round(q.containment("s", "s", 5), 6), "1.0::DOUBLE")
+_kept("sha512", "docs", lambda: F.length(h.sha512("text")), "CASE WHEN text IS NOT NULL THEN 128 END")
+query("coord_check", lambda t: _FLAGS(t, same=iv.coord_check("vcf", "gff"), other=iv.coord_check("bed", "sam")), "SELECT 'same' AS name, true AS value UNION ALL SELECT 'other', false")
+query("fisher_exact", lambda t: _VALUES(t, st.fisher_exact(3, 1, 1, 3).values()), "SELECT 0 AS i, 9.0::DOUBLE AS v UNION ALL SELECT 1, round((16 + 1 + 16 + 1) / 70.0, 9)")
+query("power_t_test", lambda t: _LIST(t, [md.power_t_test(0.5)]), "SELECT 0 AS i, ceil(2 * ((1.959963984540054 + 0.8416212335729143) / 0.5) ** 2)::BIGINT AS v")
+query("qnorm", lambda t: _VALUES(t, [st.qnorm(0.975), st.qnorm(0.5)]), "SELECT 0 AS i, 1.959963985::DOUBLE AS v UNION ALL SELECT 1, 0.0")
+query("detect_adapters", lambda t: al.detect_adapters(t.orders.select(F.concat(F.md5(F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 3 == 0, "AGATCGGAAGAG").otherwise("")).alias("seq"))), "SELECT 'AGATCGGAAGAG' AS suffix, count(*) AS count FROM orders WHERE o_orderkey % 3 = 0")
+query("find_orfs", lambda t: t.orders.select("o_orderkey", F.concat(F.lit("CCATG"), F.expr("repeat('GCA', cast(o_orderkey % 20 as int))"), F.lit("TAAC")).alias("s")).select("o_orderkey", F.explode(q.find_orfs("s", 30)).alias("o")).select("o_orderkey", "o.start", "o.end"), "SELECT o_orderkey, 2 AS start, (8 + 3 * (o_orderkey % 20))::INT AS \"end\" FROM orders WHERE 6 + 3 * (o_orderkey % 20) >= 30")
+query("qc_report", lambda t: sq.qc_report(_RD(t).select("seq", "quality")).select("total_reads", "total_bases"), f"SELECT count(*) AS total_reads, CAST(sum(length(s)) AS BIGINT) AS total_bases FROM {_DS}")
+query("group_apply", lambda t: tb.group_apply(t.orders.select("o_orderstatus", "o_totalprice"), ["o_orderstatus"], _by_value(_first_rows), "o_orderstatus string, n long"), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+
+
+def _first_rows(rows):
+    return rows.groupby("o_orderstatus", as_index=False).size().rename(columns={"size": "n"})
