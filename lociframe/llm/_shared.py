@@ -33,17 +33,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lociframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Files for each core of the cluster, at most, that a step's by-product is written into.
-FILES_PER_CORE = 4
-
-
-def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: the lineage ends there, lost executors or not.  few: a
-    task takes several partitions in turn, so that a small table is no heap of tiny files, whatever the shuffle's partitions."""
+def written(df: DataFrame, name: str, files_per_core: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again: the lineage ends there, lost executors or not.  With
+    files_per_core a task takes several partitions in turn, so that a by-product is no heap of tiny files, whatever the
+    shuffle's partitions."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    if few:
-        df = df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism))
+    if files_per_core:
+        df = df.coalesce(files_per_core * max(1, spark.sparkContext.defaultParallelism))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
@@ -214,7 +211,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     written to the shared folder and superseded tables are deleted; the number of rounds grows with the logarithm of the
     longest path.  Beyond PLAIN_EDGES minima are written before they are joined back, so both sides of each join are plain
     scans, and adaptive execution may split the rows of a node of many edges among tasks."""
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e", few=True)
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-e", 1)
     before = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -225,7 +222,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         def kept(df: DataFrame, part: str, edges: int = now[0], old: list = old) -> DataFrame:
             if edges <= PLAIN_EDGES:
                 return df
-            old.append(written(df, f"{name}-{part}", few=True))
+            old.append(written(df, f"{name}-{part}", 1))
             return old[-1]
 
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -235,7 +232,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         # small star: u and its smaller neighbours go to the smallest of them
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e", few=True)
+        e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-e", 1)
         for df in old:
             discard(df)
     return e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "node").union(

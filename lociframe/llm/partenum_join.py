@@ -5,8 +5,10 @@ Jaccard similarity, the larger in that band, differ in at most k elements.  The
 and each of them into SECOND second-level parts; every subset of SECOND - 1 second-level parts of a first-level part is a
 signature.  With T first-level parts, two such sets share at least 2 T - k signatures: a part with two differences or more
 may share none, one with a single difference shares one, one without any shares all, and k differences can spoil no more.
-T is SPARE percent above what pigeonholes need (2 T > k), so each set may leave out the 2 T - k - 1 of its signatures that
-hold fewest elements.  The fullest signature that two sets share is kept by both: at least 2 T - k - 1 others rank below it.
+T is SPARE percent above what pigeonholes need (2 T > k), so each set may leave out 2 T - k - 1 of its signatures: those
+with fewest rare elements, then fewest elements.  That rank depends on a signature's content alone, so of the signatures
+that two sets share the highest is kept by both: 2 T - k - 1 others at least rank below it.  Which elements are rare is a
+guess from a bounded sample of the documents; a wrong guess makes more candidates, and never loses a link.
 
 Tasks send signatures as packed blocks, one a part of the signatures' hashes; each block of a part meets the others of that
 part in one task.  There each signature gives links to try between its smallest document and the others, not all pairs.
@@ -43,7 +45,10 @@ BROADCAST_IDS = 1_000_000
 #: Second-level parts of each first-level part; a signature takes all but one of them.
 SECOND = 3
 #: First-level parts, in percent, beyond those that pigeonholes need.
-SPARE = 10
+SPARE = 25
+#: About so many documents show which elements are common: those in COMMON of them or more, COMMON_MOST at most (8 bytes each,
+#: broadcast).
+SAMPLE, COMMON, COMMON_MOST = 8_000, 3, 500_000
 #: Signatures that a task gathers before it sends them on (16 bytes each).
 GATHER = 1_000_000
 #: Blocks of signatures for each shuffle partition; a task holds one block's signatures at a time.
@@ -87,8 +92,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
 class Bands:
     """Size bands and the cuts of each, for sets with num * union <= den * intersection."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, common: np.ndarray | None = None):
         self.num, self.den = num, den
+        self.common = common if common is not None else np.zeros(0, dtype=U64)  # sorted
         self.low: list[int] = [1]
         self.high: list[int] = []
         #: (differences, first-level parts, signatures to leave out), or None where only equal sets are similar
@@ -119,6 +125,9 @@ class Bands:
         with np.errstate(over="ignore"):
             sums = np.zeros(size + 1, dtype=U64)
             np.cumsum(mix64(s ^ _SALTS[2]), out=sums[1:])
+            place = np.searchsorted(self.common, s)
+            rare = np.zeros(size + 1, dtype=np.int64)  # of the elements before; beyond the last common one all are rare
+            np.cumsum((place == len(self.common)) | (np.append(self.common, U64(0))[place] != s), out=rare[1:])
             for band in range(self.of(size), self.of(size * self.den // self.num) + 1):
                 if self.cuts[band] is None:
                     continue
@@ -133,7 +142,9 @@ class Bands:
                 count = (count.sum(axis=1, keepdims=True) - count).ravel()
                 where = np.arange(first * SECOND, dtype=U64) + U64(band << 32)
                 if spare:
-                    kept = np.argsort(-count, kind="stable")[: len(count) - spare]
+                    few = np.diff(rare[at]).reshape(first, SECOND)
+                    few = (few.sum(axis=1, keepdims=True) - few).ravel()
+                    kept = np.lexsort((-count, -few))[: len(count) - spare]
                     value, count, where = value[kept], count[kept], where[kept]
                 out.append(mix64(value + mix64(count.astype(U64) * _SALTS[0] + mix64(where * _SALTS[1]))))
         return np.concatenate(out) if out else np.zeros(0, dtype=U64)
@@ -237,11 +248,11 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig.view(U64).ravel(), off.view(np.int64).ravel() + base
 
 
-def _first_pass(words: int, num: int, den: int, parts: int, hot: int):
+def _first_pass(words: int, num: int, den: int, parts: int, hot: int, common):
     """A row for each document (hashes and size of its set, sketch) and blocks of signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands = Bands(num, den, common.value)
         sigs: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
@@ -372,8 +383,8 @@ class _Join:
         self.made: list[DataFrame] = []
         self.repeated = False
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.made.append(_shared.written(df, f"partenum-{name}", few=True))
+    def written(self, df: DataFrame, name: str, files_per_core: int = 1) -> DataFrame:
+        self.made.append(_shared.written(df, f"partenum-{name}", files_per_core))
         return self.made[-1]
 
     def sets_of(self, ids: DataFrame, name: str) -> DataFrame:
@@ -381,7 +392,7 @@ class _Join:
         ids = self.written(ids.distinct(), f"{name}-ids")
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         sets = self.texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(self.words), "doc long, elements array<long>")
-        return self.written(sets.distinct() if self.repeated else sets, f"{name}-sets")
+        return self.written(sets.distinct() if self.repeated else sets, f"{name}-sets", 4)
 
     def links(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
@@ -392,6 +403,16 @@ class _Join:
         return self.written(joined.filter(F.col("both") * self.den >= (F.size("ea") + F.size("eb") - F.col("both")) * self.num).select("a", "b").distinct(), name)
 
 
+def _common(join: _Join) -> np.ndarray:
+    """Sorted hashes of the elements that several documents of a sample have."""
+    n = join.texts.count()
+    some = join.texts.filter(F.rand(7) < SAMPLE / max(n, 1))
+    flat = some.mapInArrow(_sets(join.words), "doc long, elements array<long>").select(F.explode("elements").alias("e"))
+    often = flat.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    got = often.orderBy(F.desc("n"), "e").limit(COMMON_MOST).select("e").toArrow().column("e").to_numpy()
+    return np.sort(np.asarray(got, dtype=np.int64).view(U64))
+
+
 def _needed(n: Column, num: int, den: int) -> Column:
     """The elements that a set of n must share with a similar one."""
     return F.ceil(n.cast("long") * num / den).cast("long")
@@ -433,12 +454,15 @@ def _settle(join: _Join, unsettled: DataFrame, sketches: DataFrame) -> DataFrame
     """Links between different components of the documents unsettled (doc, comp): an exact join by prefixes of rare elements."""
     num, den = join.num, join.den
     sets = join.sets_of(unsettled.select("doc"), "open")
-    flat = join.written(sets.join(unsettled, "doc").select("doc", "comp", F.size("elements").alias("n"), F.explode("elements").alias("e")), "open-elements")
-    often = join.written(flat.groupBy("e").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("e", "f"), "open-shared")
-    have = join.written(flat.join(often, "e").groupBy("doc", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d")).filter(F.size("d") >= _needed(F.col("n"), num, den)), "open-rare")
+    flat = sets.join(unsettled, "doc").select("doc", "comp", F.explode("elements").alias("e"))
+    often = flat.groupBy("e").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("e", "f")
+    often = join.written(often, "open-shared", 4)
+    have = flat.select("doc", "e").join(often, "e").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
+    known = unsettled.join(sketches.select("doc", "n").distinct(), "doc")
+    have = join.written(have.join(known, "doc").filter(F.size("d") >= _needed(F.col("n"), num, den)), "open-rare", 4)
     # of the n - needed + 1 rarest elements, those that no other component holds lead nowhere
     lead = F.size("d") - _needed(F.col("n"), num, den) + 1
-    keyed = join.written(have.select("doc", "comp", "n", F.explode(F.transform(F.slice("d", F.lit(1), lead.cast("int")), lambda x: x["e"])).alias("e")), "open-prefixes")
+    keyed = join.written(have.select("doc", "comp", "n", F.explode(F.transform(F.slice("d", F.lit(1), lead.cast("int")), lambda x: x["e"])).alias("e")), "open-prefixes", 4)
     size = keyed.groupBy("e").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
     size = join.written(size.select("e", F.ceil(F.col("m") / TILE).cast("int").alias("b")), "open-tiles")
     mine = F.pmod(F.xxhash64("doc"), F.col("b")).cast("int")
@@ -455,9 +479,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     _shared.prepare(spark)
     join = _Join(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), words, num, den)
+    common = spark.sparkContext.broadcast(_common(join))
     parts = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = join.texts.mapInArrow(_first_pass(words, num, den, parts, HOT), _ROW)
-    table = _shared.written(first.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, _ROW), "partenum-rows")
+    first = join.texts.mapInArrow(_first_pass(words, num, den, parts, HOT, common), _ROW)
+    table = _shared.written(first.repartition("part").sortWithinPartitions("part").mapInArrow(_meet, _ROW), "partenum-rows", 4)
 
     all_docs = table.filter("n >= 0").select("doc", "h1", "h2", "n")
     classes = all_docs.filter("n > 0 AND doc IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members"))
@@ -493,7 +518,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         if more.head(1):
             comps = join.written(_shared.components(comps.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(more), "partenum"), "components")
     moved = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"), "members", "rep")
-    moved = _shared.written(moved.filter("members > 1 OR component_id <> rep").drop("members", "rep"), "partenum-classes", few=True)
+    moved = _shared.written(moved.filter("members > 1 OR component_id <> rep").drop("members", "rep"), "partenum-classes", 1)
     for made in join.made:
         _shared.discard(made)
     out = all_docs.join(moved, ["h1", "h2", "n"], "left")

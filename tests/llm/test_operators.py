@@ -523,7 +523,7 @@ def test_sketches_never_exceed_the_difference(a, b, both):
 def test_bands_share_a_signature():
     rng = np.random.default_rng(4)
     for num in (80, 90):
-        bands = partenum_join.Bands(num, 100)
+        bands = partenum_join.Bands(num, 100, np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64)))
         for size in (10, 11, 19, 20, 45, 90, 400, 2000):
             for _ in range(20):
                 whole = rng.integers(0, 1 << 63, 3 * size, dtype=np.uint64)
@@ -533,6 +533,8 @@ def test_bands_share_a_signature():
                     k += 1
                 b = np.r_[a[k:], whole[size : size + k]]
                 assert np.intersect1d(bands.signatures(np.sort(a)), bands.signatures(np.sort(b))).size, (num, size)
+                bands.common = np.sort(rng.choice(whole, size))  # whatever counts as common, a signature is shared
+                assert np.intersect1d(bands.signatures(np.sort(a)), bands.signatures(np.sort(b))).size, (num, size)
                 c = a[: math.ceil(size * num / 100)]
                 assert np.intersect1d(bands.signatures(np.sort(a)), bands.signatures(np.sort(c))).size or len(c) == size, (num, size)
 
