@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import collections as coll
+from ..operators.store import settled
 
 NULLS = ["", "NA", "na", "null", "."]
 
@@ -159,22 +160,74 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rec.select(F.substring_index(head, " ", 1).alias("id"), F.when(F.contains(head, F.lit(" ")), F.regexp_replace(head, r"^\S* ", "")).otherwise("").alias("description"), seq.alias("seq"), F.char_length(seq).cast("long").alias("length"))
 
 
+#: Blocks of FASTQ files whose line numbers are broadcast (about 100 bytes each); beyond it, a join by block.
+BROADCAST_BLOCKS = 200_000
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """id, description, seq, length, quality of four-line records.  A file is numbered line by line in its own task."""
-    def four(batches):
+    """id, description, seq, length, quality of four-line records.  Files split where their compression allows: a first pass
+    counts each block's lines and keeps the three at both of its ends; then records inside a block are put together where they
+    lie, and the few that span blocks from those ends."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def ends(batches):
+        import pyarrow as pa
+
+        at, n, head, tail = None, 0, [], []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([n], pa.int64()), pa.array([head], pa.list_(pa.string())), pa.array([tail], pa.list_(pa.string()))], names=["file", "block", "n", "head", "tail"])
+        for batch in batches:
+            for value, *here in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != at:
+                    if at is not None:
+                        yield row()
+                    at, n, head, tail = here, 0, [], []
+                if n < 3:
+                    head.append(value)
+                tail = [*tail[-2:], value]
+                n += 1
+        if at is not None:
+            yield row()
+
+    blocks = settled(lines.mapInArrow(ends, "file string, block long, n long, head array<string>, tail array<string>"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    blocks = blocks.withColumn("before", before)
+    starts = blocks.select("file", "block", "before")
+
+    def inside(batches):
         import pyarrow as pa
 
+        at, n, held, rows = None, 0, [], []
+
+        def out():
+            cols = [[r[k] for r in rows] for k in (0, 1, 3)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["head", "seq", "quality"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                lines = text.split("\n")
-                rows = [[x.rstrip("\r") for x in lines[i : i + 4]] for i in range(0, len(lines) - 3, 4) if lines[i].startswith("@")]
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    cols = [[r[0][1:].partition(" ")[0] for r in part], [r[0][1:].partition(" ")[2] for r in part], [r[1] for r in part], [r[3] for r in part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["id", "description", "seq", "quality"])
-
-    out = spark.read.text(path, wholetext=True).mapInArrow(four, "id string, description string, seq string, quality string")
-    return out.select("id", "description", "seq", F.char_length("seq").cast("long").alias("length"), "quality")
+            for value, file, block, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != at:
+                    at, n, held = (file, block), first, []
+                if n % 4 == 0:
+                    held = [value]
+                elif held:
+                    held.append(value)
+                    if len(held) == 4:
+                        rows.append(held)
+                        held = []
+                n += 1
+            if rows:
+                yield out()
+
+    known = F.broadcast(starts) if starts.count() <= BROADCAST_BLOCKS else starts
+    placed = lines.join(known, ["file", "block"]).select("value", "file", "block", "before")
+    whole = placed.mapInArrow(inside, "head string, seq string, quality string")
+    edge = blocks.select("file", "block", "before", F.explode(F.array_union(F.transform("head", lambda x, i: F.struct((F.col("before") + i).alias("at"), x.alias("line"))), F.transform("tail", lambda x, i: F.struct((F.col("before") + F.col("n") - F.size("tail") + i).alias("at"), x.alias("line"))))).alias("e"))
+    part = lambda k: F.max(F.when(F.col("e.at") % 4 == k, F.col("e.line")))
+    across = edge.groupBy("file", F.expr("e.at div 4").alias("record")).agg(F.count_distinct("block").alias("blocks"), F.count(F.lit(1)).alias("lines"), part(0).alias("head"), part(1).alias("seq"), part(3).alias("quality"))
+    records = whole.unionByName(across.filter("blocks > 1 AND lines = 4").select("head", "seq", "quality")).filter(F.col("head").startswith("@"))
+    clean = records.select(*[F.regexp_replace(c, r"\r$", "").alias(c) for c in ("head", "seq", "quality")]).withColumn("head", F.substring("head", 2, 2**31 - 1))
+    has = F.contains("head", F.lit(" "))
+    return clean.select(F.substring_index("head", " ", 1).alias("id"), F.when(has, F.regexp_replace("head", r"^\S* ", "")).otherwise("").alias("description"), "seq", F.char_length("seq").cast("long").alias("length"), "quality")
 
 
 fasta, fastq, bed, gff, vcf, sam, maf, bedgraph = read_fasta, read_fastq, read_bed, read_gff, read_vcf, read_sam, read_maf, read_bedgraph

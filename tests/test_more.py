@@ -198,3 +198,20 @@ def test_kendall(spark, values):
     sign = lambda v: (v > 0) - (v < 0)
     want = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(rows) for b in rows[:i]) / (500 * 499 / 2)
     assert abs(md.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y")["tau"] - want) < 1e-12
+
+
+@pytest.mark.parametrize("size", ["37b", "300b", "1m"])
+def test_fastq_in_blocks(spark, tmp_path, size):
+    """Records come back whole however their file is split, with quality lines that begin like a header."""
+    rows = [(f"r{i}", "ACGT" * (i % 9 + 1), "@+I!" * (i % 9 + 1)) for i in range(120)]
+    (tmp_path / "a.fq").write_text("".join(f"@{i} about {i}\n{s}\n+\n{q}\n" for i, s, q in rows[:70]) + "\n")
+    (tmp_path / "b.fq").write_text("".join(f"@{i}\r\n{s}\r\n+\r\n{q}\r\n" for i, s, q in rows[70:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = fm.read_fastq(spark, str(tmp_path / "*.fq")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.id, r.seq, r.quality) for r in got) == sorted(rows)
+    assert {r.description for r in got} == {""} | {f"about r{i}" for i in range(70)}
