@@ -30,14 +30,14 @@ from . import _shared
 
 CAPACITY = 2048
 #: Chunks whose ids a worker keeps in each of two generations, about 150 bytes each.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 250_000
 #: Letters below this code point are their own composed form and have plain lower case (or one that is no letter).
 _LATIN_END = "\u0250"
 _MARKS = ".,!?;:#$%&*\"()-|"
 #: ASCII white space, which no token spans; other white space is left to the tokenizer.
 _BLANKS = " \t\n\v\f\r"
 #: Bytes of text that are taken apart together: the more, the fewer look-ups of the same word.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 class WordTokens:

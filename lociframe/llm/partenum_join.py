@@ -50,7 +50,7 @@ SPARE = 25
 #: broadcast).
 SAMPLE, COMMON, COMMON_MOST = 8_000, 3, 500_000
 #: Signatures that a task gathers before it sends them on (16 bytes each).
-GATHER = 1_000_000
+GATHER = 500_000
 #: Blocks of signatures for each shuffle partition; a task holds one block's signatures at a time.
 BLOCKS = 16
 #: Documents of one gathering that share a signature, from which on it is sent once.
