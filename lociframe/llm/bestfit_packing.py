@@ -299,6 +299,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
                 seen += np.bincount(length, minlength=capacity + 1)
                 cols = [batch.column(0).slice(a, b - a).take(pa.array(of)), pa.array(piece.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (start, length, crc)), pa.array(np.full(len(of), task, dtype=np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        _shared.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long")

@@ -220,5 +220,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             cols = [batch.column(i) for i in range(len(kept))]
             cols += [pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, []])), pa.array(np.concatenate([*oks, []]).astype(bool))]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, *names])
+        _shared.release()
 
     return rows.mapInArrow(run, schema)

@@ -321,5 +321,6 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
         for batch in batches:
             got = [f.scores(raw, off) for _, _, raw, off in _shared.utf8_parts(batch.column(len(kept)))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(np.concatenate([*got, []]))], names=[*kept, name])
+        _shared.release()
 
     return rows.mapInArrow(run, schema)

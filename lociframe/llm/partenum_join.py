@@ -311,6 +311,7 @@ def _first_pass(words: int, num: int, den: int, parts: int, hot: int, common):
                     yield from flush()
                     held = 0
         yield from flush()
+        _shared.release()
 
     return run
 
