@@ -1,21 +1,27 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class in its context times that of the token within its class.  The class comes from
-a word's first and last letters and its length; a softmax over classes adds hashed weights of the word before, of the word
-two before (a skip feature), of both, and a bias.  Within its class a token has its add-one relative count.  Weights are
-trained by distributed gradient updates: the training documents are cut into ROUNDS by a hash of their ids; in each round
-every task sums the observed and expected counts of its documents' features under the present weights, and their difference,
-scaled by the expectation, moves the weights.
+A token's probability is that of its class in its context times that of the token within its class in the same context.  The
+class, one of CLASSES, comes from a word's first and last letters and its length.  Both factors are softmaxes over the same
+kinds of features of the context: the word before, the word two before (a skip feature), both, each by their group, and the
+word before by its own hash.  Within a class, every word is a member: the OWN most frequent words of the class have weights of
+their own, and the others share weights, by a finer hash of the same letters, in SHARED members.  The add-one relative count
+of a word in its class is its prior, which the weights multiply; words that share weights differ by their priors alone, so the
+softmax over all words of a class sums over its members, and nothing is left out of its normaliser.  Each shared member also
+keeps one count for words not seen.  A word's group, as context, is its class and member.
+
+Weights are trained by distributed gradient updates: the training documents are cut into ROUNDS by a hash of their ids; in
+each round every task sums the observed and expected counts of its documents' features under the present weights, and their
+ratio, smoothed, moves the weights.
 
 Word counts cover all training tokens.  The most frequent words (at most HEAD_WORDS) go to every task; a document's other
-words are looked up by a join.  Words are compared by 59-bit hashes.  Null and empty texts are one end token; very long texts
-are read whole; repeated rows are scored each for itself; an empty table gives no rows.
+words are looked up by a join.  Words are compared by 54 bits of a hash and by class and shared member.  Null and empty texts
+are one end token; very long texts are read whole; repeated rows are scored each for itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +33,44 @@ from . import _shared
 from ._shared import U64, mix64
 
 CLASSES = 16
-BUCKET_BITS = 12
-FEATURES = 3
+#: Members of a class: words that share weights come first, then words with weights of their own.
+SHARED, OWN = 32, 16
+MEMBERS = SHARED + OWN
+#: Rows of weights of each feature: of the classes, and of the members of a class.
+BUCKET_BITS, INNER_BITS = 12, 13
+FEATURES = 4
 ROUNDS = 3
 RATE = 0.45
+#: Added to observed and expected counts, and the most that their ratio moves a weight by.
+SMOOTH, MOST = 3.0, 20.0
 HEAD_WORDS = 500_000
 #: Distinct words that a task gathers before it sends their counts on.
 GATHER = 400_000
+#: Tokens whose softmaxes are worked out together, and rows of sums that travel together.
+TOKENS, BLOCK = 1 << 15, 256
+#: Rows of up to so many tokens are summed together, others each for itself.
+FEW = 48
 END = np.int64(-32)  # the end token: class 0
-_START = U64(0x5851F42D4C957F2D)
-_LOW = U64(31)
+_START = U64(CLASSES * MEMBERS)
+_LOW, _SLOT = U64(31), U64(SHARED - 1)
+_SHAPE = _LOW | _SLOT << U64(5)
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word keys with their class in the low five bits, owning text), the end token behind each text's words."""
+    """(word keys with their class in the low five bits and their shared member in the next five, owning text), the end token behind each text's words."""
     low = _shared.LOWER[raw]
     starts, ends, owner = _shared.word_spans(low, offsets)
     h = _shared.span_hashes(low, starts, ends)
     docs = len(offsets) - 1
     if len(starts):
-        first, last = low[starts].astype(U64), low[ends - 1].astype(U64)
+        first = low[starts].astype(U64)
         letter = (low >= 97) & (low <= 122) | (low >= 128)
         tail = np.where(letter[ends - 1], ends - 1, np.maximum(ends - 2, starts))  # before a closing mark
         with np.errstate(over="ignore"):
             shape = first * U64(31) + low[tail].astype(U64) * U64(1009) + low[np.maximum(tail - 1, starts)].astype(U64) * U64(9176) + np.minimum(ends - starts, 9).astype(U64) // U64(4)
-        kind = U64(1) + mix64(shape) % U64(CLASSES - 1)
-        del last
-        key = ((h & ~_LOW) | kind).view(np.int64)
-        key[key == END] += 64
+        mixed = mix64(shape)
+        kind = U64(1) + mixed % U64(CLASSES - 1)
+        key = ((h & ~_SHAPE) | (mixed >> U64(40) & _SLOT) << U64(5) | kind).view(np.int64)
     else:
         key = np.zeros(0, dtype=np.int64)
     at = np.searchsorted(owner, np.arange(docs), side="right") + np.arange(docs)
@@ -67,41 +83,82 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, own
 
 
-def contexts(key: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """(FEATURES, tokens) rows of the weight table: the word before, the word two before, both."""
-    k = key.view(U64)
-    one, two = np.full(len(k), _START), np.full(len(k), _START)
-    one[1:] = np.where(own[1:] == own[:-1], k[:-1], _START)
-    two[2:] = np.where(own[2:] == own[:-2], k[:-2], _START)
-    shift = U64(64 - BUCKET_BITS)
+def contexts(key: np.ndarray, own: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(FEATURES, tokens) rows of the classes' weights and of the members' weights: the groups of the word before, of the word
+    two before and of both, and the word before itself."""
+    g, k = group.astype(U64), key.view(U64)
+    kind = k & _LOW
+    one, two, word = np.full(len(k), _START), np.full(len(k), _START), np.full(len(k), _START)
+    near, far = own[1:] == own[:-1], own[2:] == own[:-2]
+    one[1:] = np.where(near, g[:-1], _START)
+    word[1:] = np.where(near, k[:-1], _START)
+    two[2:] = np.where(far, g[:-2], _START)
     with np.errstate(over="ignore"):
-        a = mix64(one * U64(3)) >> shift
-        b = mix64(two * U64(5) + U64(1)) >> shift
-        c = mix64(one * U64(7) ^ mix64(two)) >> shift
-    return np.stack([a, b, c]).astype(np.uint16)
+        both = mix64(one * U64(7) ^ mix64(two))
+        word = mix64(word * U64(11))
+        outer = np.stack([mix64(one * U64(3)), mix64(two * U64(5) + U64(1)), both, word]) >> U64(64 - BUCKET_BITS)
+        inner = mix64(np.stack([one * U64(3), two * U64(5) + U64(1), both, word]) ^ mix64(kind + U64(1))) >> U64(64 - INNER_BITS)
+    return outer.astype(np.int64), inner.astype(np.int64)
+
+
+def _scores(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sum of bias and each feature's row of weights, its exponential, and the sum of that.  Weights are bounded by MOST
+    and ROUNDS, and bias is at most 0, so nothing overflows."""
+    z = np.take(weights[0], rows[0], axis=0)
+    for f in range(1, FEATURES):
+        z += np.take(weights[f], rows[f], axis=0)
+    z += bias
+    e = np.exp(z)
+    return z, e, np.einsum("ij->i", e)
 
 
 @dataclass
 class Model:
-    """weights: (FEATURES, buckets, classes); bias and spread: log10 of tokens and types in each class; the head's keys,
-    sorted, and counts; tokens, types: N and V."""
+    """weights: (FEATURES, buckets, classes); inner: (FEATURES, buckets, members); bias: log of each class's share of tokens;
+    prior: log of each member's share of its class, by class and member, and spread: log10 of its add-one counts; own: sorted
+    keys of the words with weights of their own, own_member: their members; the head's keys, sorted, and counts; tokens,
+    types: N and V."""
 
     weights: np.ndarray
+    inner: np.ndarray
     bias: np.ndarray
+    prior: np.ndarray
     spread: np.ndarray
+    own: np.ndarray
+    own_member: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
     tokens: int
     types: int
 
-    def log_classes(self, feats: np.ndarray) -> np.ndarray:
-        """Natural log of each class's probability."""
-        z = self.weights[0][feats[0]] + self.weights[1][feats[1]]
-        z += self.weights[2][feats[2]]
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def members(self, key: np.ndarray) -> np.ndarray:
+        """Each word's member in its class."""
+        shared = (key >> 5 & (SHARED - 1)).astype(np.int64)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)
+        return np.where(self.own[at] == key, self.own_member[at], shared)
+
+    def classes(self, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of each class."""
+        return _scores(self.weights, outer, self.bias)
+
+    def in_class(self, inner: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of each member of the token's class."""
+        return _scores(self.inner, inner, np.take(self.prior, kind, axis=0))
+
+    def log10_in_context(self, key: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability, but for log10 of its add-one count."""
+        kind, member = (key & 31).astype(np.int64), self.members(key)
+        outer, inner = contexts(key, own, kind * MEMBERS + member)
+        out = np.empty(len(key))
+        for a in range(0, len(key), TOKENS):
+            part = slice(a, a + TOKENS)
+            at = np.arange(len(key[part]))
+            z, _, total = self.classes(outer[:, part])
+            y, _, in_class = self.in_class(inner[:, part], kind[part])
+            out[part] = z[at, kind[part]].astype(np.float64) + y[at, member[part]] - np.log(total) - np.log(in_class)
+        return out / np.log(10.0) - self.spread[kind, member]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,35 +191,111 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _gradient(model: Model):
-    """Observed and expected counts of each feature and class, over the documents of a task."""
+def _add_expected(expected: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """Adds the probabilities p of each token to its row of each feature."""
+    for f in range(FEATURES):
+        order = np.argsort(rows[f].astype(np.uint16), kind="stable")
+        in_order, sums = rows[f][order], expected[f]
+        at = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+        size = np.diff(np.r_[at, len(order)])
+        long = size > FEW
+        for r, x, n in zip(in_order[at[long]].tolist(), at[long].tolist(), size[long].tolist(), strict=True):
+            sums[r] += np.einsum("ij->j", np.take(p, order[x : x + n], axis=0))
+        at, size = at[~long], size[~long]
+        for i in range(FEW):  # the next token of every row that has one more: no row twice
+            at, size = at[size > i], size[size > i]
+            sums[in_order[at]] += np.take(p, order[at + i], axis=0)
+
+
+def _gradient(sent):
+    """Observed and expected counts of each feature and class, and of each feature and member, over the documents of a task:
+    in blocks of BLOCK rows of weights, those of the classes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (FEATURES, 1 << BUCKET_BITS, CLASSES)
-        seen, expected = np.zeros(size), np.zeros(size)
+        model: Model = sent.value
+        sums = [(np.zeros(w.shape), np.zeros(w.shape, np.float32)) for w in (model.weights, model.inner)]
         some = False
         for batch in batches:
             for _, _, raw, off in _shared.utf8_parts(batch.column(0)):
                 key, own = tokens(raw, off)
-                feats = contexts(key, own)
-                kind = (key.view(U64) & _LOW).astype(np.int64)
-                p = np.exp(model.log_classes(feats))
+                kind, member = (key & 31).astype(np.int64), model.members(key)
+                outer, inner = contexts(key, own, kind * MEMBERS + member)
                 some = some or len(key) > 0
-                for f in range(FEATURES):
-                    seen[f] += np.bincount(feats[f].astype(np.int64) * CLASSES + kind, minlength=size[1] * CLASSES).reshape(size[1:])
-                    order = np.argsort(feats[f], kind="stable")
-                    sorted_feats = feats[f][order]
-                    at = np.flatnonzero(np.r_[True, sorted_feats[1:] != sorted_feats[:-1]])
-                    expected[f][sorted_feats[at]] += np.add.reduceat(p[order], at, axis=0)
-        if some:
-            rows = np.flatnonzero(seen.sum(axis=2).ravel())
-            both = np.concatenate([seen.reshape(-1, CLASSES)[rows], expected.reshape(-1, CLASSES)[rows]], axis=1).astype(np.float32)
-            ends = np.arange(0, both.size + 1, 2 * CLASSES, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(both.ravel()))], names=["row", "g"])
+                for (seen, _), rows, hit in zip(sums, (outer, inner), (kind, member), strict=True):
+                    for f in range(FEATURES):
+                        seen[f] += np.bincount(rows[f] * seen.shape[2] + hit, minlength=seen[f].size).reshape(seen[f].shape)
+                for a in range(0, len(key), TOKENS):
+                    part = slice(a, a + TOKENS)
+                    for (_, expected), rows, (_, e, total) in zip(sums, (outer[:, part], inner[:, part]), (model.classes(outer[:, part]), model.in_class(inner[:, part], kind[part])), strict=True):
+                        e /= total[:, None]
+                        _add_expected(expected, rows, e)
+        first = 0
+        for seen, expected in sums if some else ():
+            both = np.concatenate([seen, expected], axis=2).astype(np.float32).reshape(-1, BLOCK * 2 * seen.shape[2])
+            for i in np.flatnonzero(both.any(axis=1)):
+                yield pa.RecordBatch.from_arrays([pa.array([first + int(i)], pa.int32()), pa.array([both[i].tobytes()], pa.binary())], names=["block", "g"])
+            first += len(both)
+        _shared.release()
 
     return run
 
 
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = np.frombuffer(g.as_buffer(), dtype=np.float32)
+            if block in sums:
+                sums[block] += values
+            else:
+                sums[block] = values.astype(np.float64)
+    for block, g in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([g.astype(np.float32).tobytes()], pa.binary())], names=["block", "g"])
+
+
+def _moved(model: Model, sums: pa.Table) -> None:
+    """Moves the weights by the summed counts."""
+    got = dict(zip(sums.column("block").to_pylist(), sums.column("g").to_pylist(), strict=True))
+    first = 0
+    for name in ("weights", "inner"):
+        w = getattr(model, name)
+        flat = w.reshape(-1, BLOCK, w.shape[2]).astype(np.float64)
+        for i in range(len(flat)):
+            if first + i in got:
+                g = np.frombuffer(got[first + i], dtype=np.float32).reshape(BLOCK, 2 * w.shape[2]).astype(np.float64)
+                seen, expected = g[:, : w.shape[2]], g[:, w.shape[2] :]
+                flat[i] += RATE * np.log(np.clip((seen + SMOOTH) / (expected + SMOOTH), 0.05, MOST))
+        setattr(model, name, flat.reshape(w.shape).astype(np.float32))
+        first += len(flat)
+
+
+def _model(by_shape: dict[int, tuple[int, int]], key: np.ndarray, c: np.ndarray) -> Model:
+    """A model of no weights: by_shape has the tokens and types of each class and shared member (the low bits of their keys);
+    key, c are the head."""
+    n, v = np.zeros((CLASSES, MEMBERS)), np.zeros((CLASSES, MEMBERS))
+    for low, (many, types) in by_shape.items():
+        n[low & 31, low >> 5], v[low & 31, low >> 5] = many, types
+    tokens, types, in_class = int(n.sum()), int(v.sum()), n.sum(axis=1)
+    order = np.lexsort((key, -c, key & 31))
+    kind = (key & 31)[order]
+    rank = np.arange(len(order)) - np.searchsorted(kind, kind)
+    top = order[(rank < OWN) & (kind > 0)]  # class 0 has the end alone
+    member = SHARED + rank[(rank < OWN) & (kind > 0)]
+    k, slot = key[top] & 31, key[top] >> 5 & (SHARED - 1)
+    np.subtract.at(n, (k, slot), c[top])
+    np.subtract.at(v, (k, slot), 1)
+    n[k, member], v[k, member] = c[top], 1
+    mass = n + v
+    mass[1:, :SHARED] += 1  # words not seen
+    mass[0, int(END) >> 5 & (SHARED - 1)] = max(1.0, mass[0].sum())
+    with np.errstate(divide="ignore"):
+        spread, prior = np.log10(mass), np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32)
+    bias = np.log((in_class + 1) / (tokens + CLASSES)).astype(np.float32)
+    by_key, sorted_own = np.argsort(key), np.argsort(key[top])
+    zeros = [np.zeros((FEATURES, 1 << bits, size), dtype=np.float32) for bits, size in ((BUCKET_BITS, CLASSES), (INNER_BITS, MEMBERS))]
+    return Model(*zeros, bias, prior, spread, key[top][sorted_own], member[sorted_own], key[by_key], c[by_key], tokens, types)
+
+
 def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", id_col: str = "doc_id") -> tuple[Model, DataFrame]:
     """The model and the table (w, c) of word counts, from the documents for which may_learn holds."""
     spark = docs.sparkSession
@@ -170,9 +303,7 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", id_col: str
     learn = docs.filter(may_learn)
     text = F.col(text_col).cast("string").alias("text")
     counts = _shared.written(learn.select(text).mapInArrow(_count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "lm-counts")
-    by_class = {r[0]: (r[1], r[2]) for r in counts.groupBy(F.expr("cast(w & 31 as int)")).agg(F.sum("c"), F.count(F.lit(1))).collect()}
-    n = np.array([by_class.get(k, (0, 0))[0] for k in range(CLASSES)], dtype=np.float64)
-    v = np.array([by_class.get(k, (0, 0))[1] for k in range(CLASSES)], dtype=np.float64)
+    by_shape = {r[0]: (r[1], r[2]) for r in counts.groupBy(F.expr(f"cast(w & {int(_SHAPE)} as int)")).agg(F.sum("c"), F.count(F.lit(1))).collect()}
     # the least count of the head: as low as HEAD_WORDS allows
     # counts in bins that widen with them: the highest bins hold few words each, however large the corpus
     fine = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 384).cast("int")
@@ -182,22 +313,16 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", id_col: str
             break
         least, room = low, room - many
     got = counts.filter(F.col("c") >= least).toArrow()
-    key, c = got.column("w").to_numpy(), got.column("c").to_numpy()
-    order = np.argsort(key)
-    model = Model(np.zeros((FEATURES, 1 << BUCKET_BITS, CLASSES), dtype=np.float32), np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32), np.log10(n + v + 1), key[order], c[order], int(n.sum()), int(v.sum()))
+    model = _model(by_shape, got.column("w").to_numpy(), got.column("c").to_numpy())
     deal = F.pmod(F.xxhash64(F.lit("round"), F.col(id_col)), F.lit(ROUNDS))
+    # a task's sums are of one size however few documents it reads: two partitions a task, if that leaves one for each core
+    tasks = max(1, spark.sparkContext.defaultParallelism, learn.rdd.getNumPartitions() // 2)
     for turn in range(ROUNDS):
-        sent = Model(model.weights, model.bias, model.spread, key[:0], c[:0], 0, 0)
-        rows = learn.filter(deal == turn).select(text).mapInArrow(_gradient(sent), "row int, g array<float>")
-        sums = rows.groupBy("row").agg(F.array(*[F.sum(F.col("g")[k].cast("double")) for k in range(2 * CLASSES)]).alias("g")).toArrow()
-        if not sums.num_rows:
-            continue
-        g = np.array(sums.column("g").to_pylist())
-        seen, expected = g[:, :CLASSES], g[:, CLASSES:]
-        step = np.clip((seen - expected) / (expected + 3.0), -1.0, 3.0)
-        flat = model.weights.reshape(-1, CLASSES).astype(np.float64)
-        flat[sums.column("row").to_numpy()] += RATE * np.log1p(np.maximum(step, -0.95))
-        model.weights = flat.reshape(model.weights.shape).astype(np.float32)
+        sent = spark.sparkContext.broadcast(replace(model, head=model.head[:0], head_counts=model.head_counts[:0]))
+        part = learn.filter(deal == turn).select(text).coalesce(tasks)
+        blocks = part.mapInArrow(_gradient(sent), "block int, g binary").repartition("block")
+        _moved(model, blocks.mapInArrow(_sum_blocks, "block int, g binary").toArrow())
+        sent.unpersist()
     return model, counts
 
 
@@ -212,8 +337,7 @@ def _score(sent):
             for a, b, raw, off in _shared.utf8_parts(batch.column(1)):
                 docs = b - a
                 key, own = tokens(raw, off)
-                kind = (key.view(U64) & _LOW).astype(np.int64)
-                part = m.log_classes(contexts(key, own))[np.arange(len(key)), kind] / np.log(10.0) - m.spread[kind]
+                part = m.log10_in_context(key, own)
                 at = np.searchsorted(m.head, key)
                 hit = (at < len(m.head)) & (m.head[np.minimum(at, len(m.head) - 1)] == key) if len(m.head) else np.zeros(len(key), bool)
                 total = lambda w: np.bincount(own, weights=w, minlength=docs)

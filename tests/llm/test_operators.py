@@ -429,6 +429,66 @@ def test_language_model(spark):
     assert sum(rows[i].score for i in held) > sum(rows[i].base_score for i in held)
 
 
+def word_key(word):
+    raw = word.encode()
+    return int(maxent_lm.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0])
+
+
+def test_words_of_a_class_depend_on_context(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "HEAD_WORDS", 40)
+    rng = random.Random(5)
+    # of one shape, so of one class: which of them comes depends on the word before alone
+    mids = ["".join(rng.choices("aeiou", k=3)) for _ in range(60)]
+    one, two = (list(dict.fromkeys("s" + m + "ly" for m in half)) for half in (mids[:30], mids[30:]))
+    two = [w for w in two if w not in one]
+    assert len({word_key(w) & 31 for w in one + two}) == 1
+    texts = [" ".join(f"{f} {rng.choice(ws)}" for f, ws in rng.choices([("red", one), ("blue", two)], k=20)) for _ in range(300)]
+    asked = [f"{f} {w}" for f in ("red", "blue") for w in (one[0], two[0])] + ["red", "blue unseenly", "red " + one[1] + " never", None]
+    df = docs(spark, texts)
+    model, counts = maxent_lm.fit(df, F.lit(True))
+    score = {r.doc_id: r.score for r in maxent_lm.score(docs(spark, asked), model, counts).collect()}
+    assert (score[0] - score[1]) - (score[2] - score[3]) > 1  # 0 in the class but for the end token, if context told the class alone
+
+    # every probability as a softmax over all words, one by one
+    c = collections.Counter({r.w: r.c for r in counts.collect()})
+    assert c[int(maxent_lm.END)] == len(texts) and c[word_key("red")] == sum(t.split().count("red") for t in texts)
+    unseen = [s << 5 | k for k in range(1, maxent_lm.CLASSES) for s in range(maxent_lm.SHARED)]  # a word not seen for each shared member
+    words = np.array([*c, *unseen])
+    count = np.array([c[w] + 1.0 for w in words.tolist()])
+    kinds, members = words & 31, model.members(words)
+    own = dict(zip(model.own.tolist(), model.own_member.tolist(), strict=True))
+    assert own and len(own) < len(c) and members.tolist() == [own.get(w, w >> 5 & maxent_lm.SHARED - 1) for w in words.tolist()]
+
+    def log10_of(before, word):
+        """By all words in the place of word, each for itself."""
+        total = found = 0.0
+        weight = []
+        for w, k, m, n in zip(words.tolist(), kinds.tolist(), members.tolist(), count.tolist(), strict=True):
+            keys = np.array([*before, w])
+            group = (keys & 31) * maxent_lm.MEMBERS + model.members(keys)
+            outer, inner = maxent_lm.contexts(keys, np.zeros(len(keys), np.int64), group)
+            z = [float(model.bias[j]) + sum(float(model.weights[f, outer[f, -1], j]) for f in range(maxent_lm.FEATURES)) for j in range(maxent_lm.CLASSES)]
+            weight.append((k, math.exp(z[k]) / sum(map(math.exp, z)), n * math.exp(sum(float(model.inner[f, inner[f, -1], m]) for f in range(maxent_lm.FEATURES)))))
+        in_class = collections.Counter()
+        for k, _, n in weight:
+            in_class[k] += n
+        for w, (k, p, n) in zip(words.tolist(), weight, strict=True):
+            total += p * n / in_class[k]
+            if w == word:
+                found = p * n / in_class[k]
+        return total, math.log10(found)
+
+    for i, text in enumerate(asked):
+        keys = [word_key(w) for w in (text or "").split()] + [int(maxent_lm.END)]
+        want = 0.0
+        for at, key in enumerate(keys):
+            stand_in = key if key in c else key & 1023  # the word not seen of its class and shared member
+            total, log = log10_of(keys[:at], stand_in)
+            assert total == pytest.approx(1, abs=1e-4)
+            want += log
+        assert score[i] == pytest.approx(want, abs=1e-3)
+
+
 # ---------------------------------------------------------------- n-gram Jaccard join
 
 
