@@ -34,12 +34,50 @@ MEMO_CHUNKS = 250_000
 #: Letters below this code point are their own composed form and have plain lower case (or one that is no letter).
 _LATIN_END = "\u0250"
 _MARKS = ".,!?;:#$%&*\"()-|"
-#: ASCII white space, which no token spans; other white space is left to the tokenizer.
-_BLANKS = " \t\n\v\f\r"
 #: Bytes of text that are taken apart together: the more, the fewer look-ups of the same word.
 PART_BYTES = 2 << 20
 
 
+#: What a byte is: part of a Latin letter (U+00C0 to U+023F, but for what _NOT_PLAIN has), a mark, or neither.
+_OTHER, _LETTER, _MARK, _LEAD, _TRAIL = range(5)
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[ord(m) for m in _MARKS]] = _MARK
+_KIND[0xC3:0xC9], _KIND[0x80:0xC0] = _LEAD, _TRAIL
+#: The signs of multiplication and division, and the I whose lower case ends in a combining dot.
+_NOT_PLAIN = [c.encode() for c in "\u00d7\u00f7\u0130"]
+
+
+def _parts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words raw[starts:ends] taken apart, without the white space between: bytes, offsets, owners.  Letters go in lower
+    case (A to Z) and apart from the marks around them, if a word has nothing else; other words stay whole and as they are."""
+    kind = _KIND[raw]
+    trail = np.zeros(len(raw), dtype=bool)
+    trail[1:] = (kind[1:] == _TRAIL) & (kind[:-1] == _LEAD)
+    letter = (kind == _LETTER) | (kind == _LEAD) | trail
+    for lead, last in _NOT_PLAIN:
+        at = np.flatnonzero(raw[1:] == last)
+        at = at[raw[at] == lead]
+        letter[at] = letter[at + 1] = False
+    # bounds of runs of letters, which white space and other bytes end
+    edge = np.diff(np.r_[False, letter, False].view(np.int8))
+    begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    neither = np.flatnonzero(~letter & (kind != _MARK) & ~_shared.IS_SPACE[raw])
+    runs = np.searchsorted(begins, starts), np.searchsorted(begins, ends)
+    plain = (np.searchsorted(neither, starts) == np.searchsorted(neither, ends)) & (runs[1] - runs[0] == 1)
+    begins, stops = begins[runs[0][plain]], stops[runs[0][plain]]
+    bound = np.zeros(len(raw) + 1, dtype=bool)
+    bound[starts] = bound[begins] = True
+    bound[stops[stops < ends[plain]]] = True
+    first = np.flatnonzero(bound)
+    word = np.searchsorted(starts, first, side="right") - 1
+    size = np.minimum(np.r_[first[1:], len(raw)], ends[word]) - first
+    lower = np.zeros(len(raw) + 1, dtype=np.int8)
+    lower[begins], lower[stops] = 1, -1
+    low = np.cumsum(lower[:-1], dtype=np.int8).view(bool)
+    return np.where(low, _shared.LOWER[raw], raw)[~_shared.IS_SPACE[raw]], np.r_[0, np.cumsum(size)], owner[word]
+
+
 class WordTokens:
     """Token ids of texts by a tokenizer whose tokens never span white space; words seen before come from a memo."""
 
@@ -54,7 +92,6 @@ class WordTokens:
             self.closes[i] = token.endswith("</w>")
         self.raw: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {"": b""}
 
     def _look_up(self, parts: list[str]) -> Iterator[bytes]:
         """Ids of each of parts; words of letters and runs of marks, which are one word each to the tokenizer, go together."""
@@ -70,52 +107,36 @@ class WordTokens:
                 first = end
 
     def _learn(self, chunks: set[str]) -> None:
-        """Fills the memo for chunks; a plain Latin word and the marks around it are looked up apart, in lower case."""
+        """Fills the memo for chunks; plain Latin words and runs of marks are looked up many at a time."""
         if len(self.raw) > MEMO_CHUNKS:
             self.old, self.raw = self.raw, {"": b""}
-        raw, old, core = self.raw, self.old, self.core
-        plain: list[tuple[str, str, str, str]] = []
+        raw, old = self.raw, self.old
+        plain: list[str] = []
         odd: list[str] = []
-        need: set[str] = set()
         for c in chunks:
             have = old.get(c)
             if have is not None:
                 raw[c] = have
-                continue
-            if max(c) < _LATIN_END:
-                low = c.lower()
-                word = low if low.isalpha() else low.strip(_MARKS)
-                if word.isalpha():
-                    at = low.index(word)
-                    a, b = low[:at], low[at + len(word) :]
-                    plain.append((c, a, word, b))
-                    need.update((a, word, b))
-                    continue
-            odd.append(c)
-        need = need.difference(core)
-        if len(core) + len(need) > MEMO_CHUNKS:
-            core.clear()
-            core[""] = b""
-            need = {p for x in plain for p in x[1:]} - {""}
-        parts = list(need)
-        core.update(zip(parts, self._look_up(parts), strict=True))
-        for c, a, word, b in plain:
-            raw[c] = core[a] + core[word] + core[b]
+            elif c.isalpha() and (c.isascii() or max(c) < _LATIN_END and c.lower().isalpha()) or not c.strip(_MARKS):
+                plain.append(c)
+            else:
+                odd.append(c)
+        raw.update(zip(plain, self._look_up(plain), strict=True))
         for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             raw[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts raw[offsets[i]:offsets[i+1]], each with an end id, in one array, and where each text ends.
-        Arrow gives words (with the white space behind them) numbers; only distinct words are looked up one by one."""
-        starts, _, owner = _shared.word_spans(raw, offsets)
+        Arrow gives words and the marks around them numbers; only distinct ones are looked up one by one."""
+        chunks, ends, owner = _shared.word_spans(raw, offsets)
         docs = len(offsets) - 1
-        if not len(starts):
+        if not len(chunks):
             return np.full(docs, end_id, dtype="<u4"), np.arange(1, docs + 1)
-        edges = np.r_[starts, len(raw)] - starts[0]
-        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[starts[0] :])))
+        text, first, owner = _parts(raw, chunks, ends, owner)
+        words = pa.LargeStringArray.from_buffers(len(owner), pa.py_buffer(first), pa.py_buffer(text))
         coded = words.dictionary_encode()
         number = coded.indices.to_numpy()
-        distinct = [w.rstrip(_BLANKS) for w in coded.dictionary.to_pylist()]
+        distinct = coded.dictionary.to_pylist()
         seen = set(distinct)
         new = seen.difference(self.raw)
         if new:

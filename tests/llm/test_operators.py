@@ -403,6 +403,30 @@ def test_packing(spark):
     assert bestfit_packing.pack_documents(docs(spark, EDGE).limit(0), WORDS).count() == 0
 
 
+def flat_texts(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+@settings(max_examples=200, deadline=None)
+@given(hs.lists(hs.text(alphabet=hs.sampled_from(list("aBcİıéÉ×÷ßÿĀſǅȿɀɏ\u0301.,!?'\"()-|<>_ª·\u00a0\u2028\x1c5  \n\t中😀")), max_size=40), min_size=1, max_size=5))
+def test_word_ids_as_library(texts):
+    words = bestfit_packing.word_tokens(WORDS)
+    ids, ends = words.ids(*flat_texts(texts))
+    for t, part in zip(texts, np.split(ids, ends[:-1]), strict=True):
+        assert part.tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_words_are_looked_up_without_case_and_marks():
+    words = bestfit_packing.WordTokens(WORDS)
+    texts = [f"{a}{w}{b}" for a in ("", "(", '"', "--") for b in ("", ".", ",", "!?", ").") for w in ("Word", "WORD", "word", "Éa", "éa")]
+    texts += ["ALİ.", "İ", "(×)", "a÷b.", "<|endoftext|>", "x<|endoftext|>.", "it's."]
+    ids, ends = words.ids(*flat_texts([" ".join(texts), "", "word"]))
+    assert ids[: ends[0]].tolist() == [*words.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, 0]
+    assert ids[ends[0] :].tolist() == [0, *words.tokenizer.encode("word", add_special_tokens=False).ids, 0]
+    assert len(words.raw) < 25  # 108 with every word and the marks around it apart
+
+
 # ---------------------------------------------------------------- language model
 
 
