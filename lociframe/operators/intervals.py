@@ -31,22 +31,26 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     return left.join(right, met & rest).drop("__bin", "__b_bin")
 
 
-def _with_id(a: DataFrame) -> DataFrame:
-    return a.withColumn("__row", F.sha2(F.to_json(F.struct(*a.columns)), 256))
+def _met(a: DataFrame, b: DataFrame, wanted: bool) -> DataFrame:
+    """The rows of a that overlap any of b, or those that do not.  Of the rows of b that begin before a row of a ends, the furthest
+    end says it, which is a running maximum over both tables in one order: no pairs are made, however many overlap."""
+    rows = a.withColumns({"__at": F.col("end"), "__reach": F.lit(None), "__s": F.lit(0)})
+    others = b.filter("chrom IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").select("chrom", F.col("start").alias("__at"), F.col("end").alias("__reach"), F.lit(1).alias("__s"))
+    both = around(rows.unionByName(others, allowMissingColumns=True), "chrom", ["__at", "__s"], before={"__most": (F.max, "__reach", False)}).filter("__s = 0")
+    hit = F.coalesce((F.col("__most") > F.col("start")) & F.col("end").isNotNull() & F.col("chrom").isNotNull(), F.lit(False))
+    return both.filter(hit if wanted else ~hit).select(*a.columns)
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a that overlap any of b, once each."""
-    rows = _with_id(a)
+    rows = a.withColumn("__row", F.sha2(F.to_json(F.struct(*a.columns)), 256))
     hits = overlap_pairs(rows.select("chrom", "start", "end", "__row"), b.select("chrom", "start", "end")).select("__row").distinct()
     return rows.join(hits, "__row", "left_semi").drop("__row")
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a that overlap none of b."""
-    rows = _with_id(a)
-    hits = overlap_pairs(rows.select("chrom", "start", "end", "__row"), b.select("chrom", "start", "end")).select("__row").distinct()
-    return rows.join(hits, "__row", "left_anti").drop("__row")
+    return _met(a, b, False)
 
 
 def query_overlaps(t: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
