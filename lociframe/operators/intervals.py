@@ -43,9 +43,7 @@ def _met(a: DataFrame, b: DataFrame, wanted: bool) -> DataFrame:
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a that overlap any of b, once each."""
-    rows = a.withColumn("__row", F.sha2(F.to_json(F.struct(*a.columns)), 256))
-    hits = overlap_pairs(rows.select("chrom", "start", "end", "__row"), b.select("chrom", "start", "end")).select("__row").distinct()
-    return rows.join(hits, "__row", "left_semi").drop("__row")
+    return _met(a, b, True)
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ def sides(spark):
     return a, b, *(spark.createDataFrame(x, "chrom string, start long, end long, id long") for x in (a, b))
 
 
-def test_subtract(sides):
+def test_intersect_and_subtract(sides):
     a, b, left, right = sides
     hit = [any(met(p, q) for q in b) for p in a]
     assert 20 < sum(hit) < len(a) - 20
-    for fn, want in ((iv.subtract, False),):
+    for fn, want in ((iv.intersect, True), (iv.subtract, False)):
         got = fn(left, right)
         assert got.columns == left.columns
         assert "__bin" not in got._jdf.queryExecution().analyzed().toString()  # by an order, not by pairs
