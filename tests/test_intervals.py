@@ -37,3 +37,16 @@ def test_intersect_and_subtract(sides):
         assert got.columns == left.columns
         assert "__bin" not in got._jdf.queryExecution().analyzed().toString()  # by an order, not by pairs
         assert Counter(map(tuple, got.collect())) == Counter(p for p, h in zip(a, hit) if h == want)
+
+
+def test_every_overlapping_pair_once(sides):
+    a, b, left, right = sides
+    got = Counter((tuple(r)[:4], tuple(r)[4:]) for r in iv.overlap_pairs(left, right).collect())
+    assert got == Counter((p, q) for p in a for q in b if met(p, q))
+    assert iv.bulk_overlaps(right, left).first()[0] == got.total()
+
+
+def test_long_ranges_touch_few_cells(spark):
+    whole = spark.createDataFrame([("x", 0, 1 << 40, i) for i in range(3)], "chrom string, start long, end long, id long")
+    points = spark.createDataFrame([("x", i << 30, (i << 30) + 1, i) for i in range(1000)], "chrom string, start long, end long, id long")
+    assert iv.overlap_pairs(whole, points).count() == iv.overlap_pairs(points, whole).count() == 3000
